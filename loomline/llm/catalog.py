@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import exact_dedup, simhash
+import corpus_pipeline
+from loomline.llm import chunk_dedup, decontamination, exact_dedup, language, packing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_packing": packing.op5_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_simhash": simhash.op7_simhash,
+        "op8_language": language.op8_language,
+        "op9_decontamination": decontamination.op9_decontamination,
+        "op10_chunk_dedup": chunk_dedup.op10_chunk_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
