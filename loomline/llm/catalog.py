@@ -7,11 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from loomline.llm import chunk_dedup, decontamination, exact_dedup, language, packing, simhash
+from loomline.llm import (
+    chunk_dedup,
+    decontamination,
+    exact_dedup,
+    html_text,
+    language,
+    packing,
+    preference,
+    simhash,
+    suffix_dedup,
+    url_filter,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html": html_text.op1_html,
+        "op2_preference": preference.op2_preference,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+        "op4_url_filter": url_filter.op4_url_filter,
         "op5_packing": packing.op5_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_simhash": simhash.op7_simhash,
@@ -23,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_preference": preference.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
