@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,11 @@ from pyspark.sql import functions as F
 from loomline.llm.common import cut, partitions, small_batches, table
 
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
-#: Words whose ids a worker remembers; past that it starts afresh.
-REMEMBERED, LONGEST = 500_000, 48
+#: Words whose ids a worker remembers, none longer than LONGEST bytes; later ones are encoded each time.
+REMEMBERED, LONGEST = 900_000, 40
+#: Placements that are broadcast; more are joined by a shuffle.
+MOST_SENT = 200_000
+_BETWEEN = "\x01"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -39,33 +43,64 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class Words:
+    """Ids of words (runs without white space), as little-endian unsigned 32-bit words.
+
+    The vocabulary drops white space before it cuts words, so the ids of a text are those of its words one after
+    another; it lower-cases, so A-Z may go first, except where combining marks might compose with the letter; and it
+    cuts a last comma or full stop off a letter. A word seen before costs a lookup.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.stops = {ord(c): self._ids(c) for c in ",."}
+        (self.between,) = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Many words in one call, a mark between them."""
+        mark = _BETWEEN.encode()
+        out = {w: self._ids(w.decode("utf-8", "replace")) for w in words if mark in w}
+        plain = [w for w in words if mark not in w]
+        joined = (b" " + mark + b" ").join(plain).decode("utf-8", "replace")
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        raw, at = ids.tobytes(), (np.flatnonzero(ids == self.between) * 4).tolist()
+        out.update(zip(plain, [raw[a:z] for a, z in zip([0, *(x + 4 for x in at)], [*at, len(raw)])]))
+        return out
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [(t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
+        words = list(chain.from_iterable(split))
+        known = self.known
+        ids = list(map(known.get, words))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            stems = {}
+            for w in {words[i] for i in missing}:
+                stems[w] = w[:-1] if len(w) > 1 and w[-1] in self.stops and 97 <= w[-2] <= 122 else w
+            fresh = self._encode([w for w in set(stems.values()) if w not in known])
+            for w, stem in stems.items():
+                if w is not stem:
+                    fresh[w] = (known.get(stem) or fresh[stem]) + self.stops[w[-1]]
+            for i in missing:
+                ids[i] = fresh[words[i]]
+            if len(known) < REMEMBERED:
+                known.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST)
+        out, at = [], 0
+        for own in split:
+            out.append(b"".join(ids[at : at + len(own)]))
+            at += len(own)
+        return out
+
+
 @lru_cache(2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}
-
-
-def encode_words(texts: list[bytes], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit words, the end id last. The vocabulary drops white space before
-    it cuts words, so that the ids of a text are those of its white-space-free runs one after another."""
-    tokenizer, known = _tokenizer(path)
-    split = [t.split() for t in texts]
-    new: set[bytes] = set()
-    for words in split:
-        new.update(set(words).difference(known))
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = {w for words in split for w in words}
-    ask = list(new)
-    for w, e in zip(ask, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in ask], add_special_tokens=False)):
-        known[w] = np.array(e.ids, "<u4").tobytes()
-    end = END_ID.to_bytes(4, "little")
-    out = [b"".join(map(known.__getitem__, words)) + end for words in split]
-    for w in ask:
-        if len(w) > LONGEST:
-            del known[w]
-    return out
+def _words(path: str) -> Words:
+    return Words(path)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -75,13 +110,15 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     names = ["row", "piece", "start", "length", "ids_crc32"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, end = _words(path), END_ID.to_bytes(4, "little")
         for b in batches:
             at, size = 0, max(1, min(128, b.num_rows))
             while at < b.num_rows:
                 part = b.slice(at, size)
                 texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(1)]
                 rows = []
-                for i, ids in enumerate(encode_words(texts, path)):
+                for i, ids in enumerate(words.encode(texts)):
+                    ids += end
                     for k, s in enumerate(range(0, len(ids), 4 * capacity)):
                         p = ids[s : s + 4 * capacity]
                         rows.append((i, k, s // 4, len(p) // 4, zlib.crc32(p)))
@@ -137,13 +174,16 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     runs = cut(runs)  # at most capacity x parts rows
     counts = {r.length: r.n for r in runs.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     kind = "length long, low long, high long, first long, each long, begin long"
-    placed = spark.createDataFrame(sweep(counts, capacity), kind)
+    places = sweep(counts, capacity)
+    placed = spark.createDataFrame(places, kind)
+    if len(places) <= MOST_SENT:
+        placed = F.broadcast(placed)
     before = runs.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     place = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = dealt.withColumn("place", place).join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("place") - 1)
     k = F.col("rank") - F.col("low")
     return (
-        ranked.join(F.broadcast(placed), "length")  # the placements are of bounded number
+        ranked.join(placed, "length")
         .filter((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
         .select(*cut_pieces.columns, (F.col("first") + F.floor(k / F.col("each"))).alias("sequence_id"), (F.col("begin") + (k % F.col("each")) * F.col("length")).alias("offset"))
     )
