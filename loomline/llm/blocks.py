@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import cut, partitions, small_batches
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Packed key bytes that a bucket should hold.
 BUCKET_BYTES = 12 << 20
 

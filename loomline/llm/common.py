@@ -75,7 +75,9 @@ def prefix_hash(data: np.ndarray, table_: np.ndarray, base: int) -> tuple[np.nda
     it stands, is (sums[e] - sums[s]) * inverse[s]."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(table_[data] * _powers(base, n), out=sums[1:])
+    terms = table_[data]
+    terms *= _powers(base, n)
+    np.cumsum(terms, out=sums[1:])
     return sums, _powers(pow(base, -1, 1 << 64), n + 1)
 
 
@@ -104,7 +106,8 @@ def random_table(seed: int, n: int = 256) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads all bits of 64-bit words."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
     x ^= x >> np.uint64(33)
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x

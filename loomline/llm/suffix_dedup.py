@@ -69,17 +69,22 @@ class Anchors:
             self.hash = self.context = np.zeros(0, np.uint64)
             self.left = self.right = self.at
             return
-        grams = mix((self.sums[gram:] - self.sums[:-gram]) * self.inverse[: n - gram + 1])
+        grams = self.sums[gram:] - self.sums[:-gram]
+        grams *= self.inverse[: n - gram + 1]
+        grams = mix(grams)
         key = (grams >> np.uint64(32)).astype(np.uint32)
         for e in block.ends[:-1].tolist():
             key[max(0, e - gram + 1) : e] = _FAR
         # the smallest hash of each window, the first of equals: hash above, place below
-        ranked = (key.astype(np.uint64) << np.uint64(32)) | np.arange(len(key), dtype=np.uint64)
+        ranked = key.astype(np.uint64)
+        ranked <<= np.uint64(32)
+        ranked |= np.arange(len(key), dtype=np.uint64)
         self.least = _sliding(ranked, self.reach + 1, np.minimum)
-        chosen = np.zeros(len(key), bool)
+        del ranked, key
+        chosen = np.zeros(len(grams), bool)
         chosen[(self.least[self.valid] & np.uint64(_FAR)).astype(np.int64)] = True
         self.at = np.flatnonzero(chosen)
-        self.index = np.cumsum(chosen) - 1
+        self.index = np.cumsum(chosen, dtype=np.int32) - 1
         doc = np.searchsorted(block.ends, self.at, "right")
         self.left = np.minimum(self.reach, self.at - block.starts[doc])
         self.right = np.minimum(window, block.ends[doc] - self.at)
@@ -131,10 +136,10 @@ class Anchors:
 
     def _around(self, which: np.ndarray) -> np.ndarray:
         """Marks of the windows in which one of these anchors lies."""
-        marks = np.zeros(len(self.valid) + 1, np.int64)
+        marks = np.zeros(len(self.valid) + 1, np.int32)
         np.add.at(marks, np.maximum(0, self.at[which] - self.reach), 1)
         np.add.at(marks, np.minimum(len(self.valid), self.at[which] + 1), -1)
-        return np.cumsum(marks[:-1]) > 0
+        return np.cumsum(marks[:-1], dtype=np.int32) > 0
 
     def open_keys(self, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A key for every distinct open window, from its first place; places of those that repeat one here."""
@@ -154,7 +159,7 @@ class Anchors:
         i = np.flatnonzero(starts)
         marks[i] += 1
         marks[i + self.window] -= 1
-        inside = np.concatenate(([False], np.cumsum(marks[:-1]) > 0, [False]))
+        inside = np.concatenate(([False], np.cumsum(marks[:-1], dtype=np.int32) > 0, [False]))
         a = np.flatnonzero(inside[1:] & ~inside[:-1])
         z = np.flatnonzero(~inside[1:] & inside[:-1])
         out = []
