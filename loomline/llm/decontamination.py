@@ -232,5 +232,5 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    gone = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    gone = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__loom_gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__loom_gone_id")), "left_anti")

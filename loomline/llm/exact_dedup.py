@@ -80,14 +80,14 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = (
         exact_groups(docs)
         .filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .groupBy(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
-        .agg(F.count(F.lit(1)).alias("times"))
+        .groupBy(F.col("doc_id").alias("__loom_kept_id"), F.col("digest").alias("__loom_kept_digest"))
+        .agg(F.count(F.lit(1)).alias("__loom_times"))
     )
     kept = cut(kept)
     digest = F.unhex(text_digest(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (digest == F.col("kept_digest"))
-    once = docs.join(kept.filter("times = 1"), same, "left_semi")
-    repeated = docs.join(kept.filter("times > 1"), same).dropDuplicates(["kept_id", "kept_digest"]).select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("__loom_kept_id")) & (digest == F.col("__loom_kept_digest"))
+    once = docs.join(kept.filter("__loom_times = 1"), same, "left_semi")
+    repeated = docs.join(kept.filter("__loom_times > 1"), same).dropDuplicates(["__loom_kept_id", "__loom_kept_digest"]).select(*docs.columns)
     return once.unionByName(repeated)
 
 

@@ -191,5 +191,5 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no letter), or between two, go."""
-    gone = predict(docs, fit(docs)).filter((F.col("lang_pred") == UNDETERMINED) | F.col("ambiguous")).select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    gone = predict(docs, fit(docs)).filter((F.col("lang_pred") == UNDETERMINED) | F.col("ambiguous")).select(F.col("doc_id").alias("__loom_gone_id"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__loom_gone_id")), "left_anti")

@@ -179,5 +179,5 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component, the document with the smallest doc_id stays."""
-    kept = simhash_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = simhash_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__loom_kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__loom_kept_id")), "left_semi")
