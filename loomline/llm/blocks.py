@@ -99,8 +99,8 @@ def buckets(blocks: DataFrame, bytes_of_key_a_byte: float) -> int:
 
 
 def dealt(number: int, n: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """keys: a structured array whose field k spreads them over n buckets."""
-    bucket = (keys["k"] >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+    """keys: a structured array; the low half of field k spreads them over n buckets (anchors have small high halves)."""
+    bucket = (keys["k"] & np.uint64(0xFFFFFFFF)) * np.uint64(n) >> np.uint64(32)
     order = np.argsort(bucket, kind="stable")
     keys, bucket = keys[order], bucket[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
