@@ -38,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_preference": preference.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_preference": preference.ORACLE, "op4_url_filter": url_filter.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}

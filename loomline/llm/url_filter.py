@@ -121,3 +121,53 @@ def judge_urls(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def _oracle(rules: dict[str, str] = RULES) -> str:
+    """The same in SQL, level by level."""
+    fits = []
+    for rule in sorted(rules, key=lambda r: (-len(r), r)):
+        h, p = rule.split("/", 1)
+        fits.append(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{rule}'")
+    said = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in rules.items())
+    share, z, weight, purity = (f"CAST({x} AS DOUBLE)" for x in (SHARE, Z * Z, WEIGHT, PURITY))
+    parts = "string_split(regexp_replace(regexp_replace(path, '^/', ''), '\\d+', '#', 'g'), '/')"
+    swap = lambda d: f"list_concat(list_concat(tpl[1:{d}], ['*']), tpl[{d + 2}:])"
+    ctes = [
+        "u AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        f"h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)",
+        f"r AS (SELECT *, CASE {' '.join(fits)} END AS rule, {parts} AS parts FROM h)",
+        f"s AS (SELECT page_id, host, path, rule, CASE rule {said} END AS said, CASE WHEN len(parts) > {DEPTH} THEN list_concat(parts[1:{DEPTH}], ['**']) ELSE parts END AS tpl FROM r)",
+        "g0 AS (SELECT host, array_to_string(tpl, '/') AS shape, any_value(tpl) AS tpl, count(*) AS n, count(*) FILTER (WHERE said = 'allow') AS good, count(*) FILTER (WHERE said = 'block') AS bad FROM s GROUP BY 1, 2)",
+    ]
+    for d in range(DEPTH):
+        parent = f"array_to_string(tpl[1:{d}], '/')" if d else "''"
+        ctes += [
+            f"k{d} AS (SELECT host, {parent} AS parent, tpl[{d + 1}] AS seg, sum(n) AS n FROM g{d} WHERE len(tpl) > {d} GROUP BY 1, 2, 3)",
+            f"w{d} AS (SELECT host, parent, sum(n) AS whole FROM k{d} GROUP BY 1, 2)",
+            f"x{d} AS (SELECT k.host, k.parent, k.seg FROM k{d} k JOIN w{d} w ON k.host = w.host AND k.parent = w.parent WHERE k.n < {share} * w.whole)",
+            f"g{d + 1} AS (SELECT g.host, g.shape, CASE WHEN x.seg IS NULL THEN g.tpl ELSE {swap(d).replace('tpl', 'g.tpl')} END AS tpl, g.n, g.good, g.bad "
+            f"FROM g{d} g LEFT JOIN x{d} x ON x.host = g.host AND x.parent = {parent.replace('tpl', 'g.tpl')} AND x.seg = g.tpl[{d + 1}] AND len(g.tpl) > {d})",
+        ]
+    last = f"g{DEPTH}"
+    for d in range(DEPTH, -1, -1):
+        ctes += [
+            f"b{d} AS (SELECT host, tpl, {swap(d)} AS family, sum(good) AS g, sum(bad) AS b FROM {last} WHERE len(tpl) > {d} GROUP BY host, tpl)",
+            f"f{d} AS (SELECT host, family, sum(g) AS fg, sum(b) AS fb, count(*) FILTER (WHERE g + b > 0) AS labelled FROM b{d} GROUP BY host, family)",
+            f"j{d} AS (SELECT b.host, b.tpl, b.family, b.g + b.b AS n, b.b / CAST(nullif(b.g + b.b, 0) AS DOUBLE) AS own, f.fb / CAST(nullif(f.fg + f.fb, 0) AS DOUBLE) AS pool, f.labelled "
+            f"FROM b{d} b JOIN f{d} f ON b.host = f.host AND b.family = f.family)",
+            f"m{d} AS (SELECT host, tpl, family FROM j{d} WHERE n > 0 AND labelled > 1 AND (own - pool) * (own - pool) * n <= {z} * pool * (1 - pool) + 1e-12)",
+            f"t{d} AS (SELECT g.host, g.shape, coalesce(m.family, g.tpl) AS tpl, g.n, g.good, g.bad FROM {last} g LEFT JOIN m{d} m ON m.host = g.host AND m.tpl = g.tpl)",
+        ]
+        last = f"t{d}"
+    ctes += [
+        f"p AS (SELECT host, tpl, (sum(good) + {weight} / 2) / (sum(good) + sum(bad) + {weight}) AS purity FROM {last} GROUP BY host, tpl)",
+        f"q AS (SELECT t.host, t.shape, '/' || array_to_string(t.tpl, '/') AS template, p.purity FROM {last} t JOIN p ON p.host = t.host AND p.tpl = t.tpl)",
+    ]
+    return (
+        f"WITH {', '.join(ctes)} SELECT s.page_id, s.host, s.path, s.rule, coalesce(s.said, CASE WHEN q.purity < {purity} THEN 'block' ELSE 'allow' END) AS verdict, q.template, q.purity "
+        "FROM s JOIN q ON q.host = s.host AND q.shape = array_to_string(s.tpl, '/')"
+    )
+
+
+ORACLE = _oracle()
