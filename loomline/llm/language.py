@@ -108,7 +108,7 @@ def held_out() -> Column:
 
 
 def _padded() -> Column:
-    return F.concat(F.lit(" "), F.coalesce(F.col("text"), F.lit("")), F.lit(" ")).cast("binary").alias("text")
+    return F.concat(F.lit("  "), F.coalesce(F.col("text"), F.lit("")), F.lit(" ")).cast("binary").alias("text")
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
