@@ -12,6 +12,12 @@ such a word has at most 65 of them around it, and so the points of a large cell
 Only links that span what is connected leave a cell. Components come from alternating large-star and small-star rounds,
 each written to the shared folder; nothing goes to the driver but two numbers a round.
 
+similar_components() adds the links of texts whose word five-grams have a Jaccard similarity of 0.8 or more, which 64 bits
+cannot tell from chance at any distance that a join could afford: the five-grams are dealt into strata by their hashes,
+about PER_STRATUM to each, and every stratum has its own fingerprint. Texts that share one of STRATA fingerprints with
+the first or last text that has it become candidates, and the five-grams themselves verify exactly. The pipeline's stage
+takes these links and those of the fingerprints together.
+
 Nulls and texts without words get fingerprint zero, linked like any other. A text of fewer words than a shingle is one
 shingle. component_id is null only if every doc_id of a component is null. Rows that repeat stay separate rows. An
 empty table gives no rows. Columns besides doc_id and text are not read.
@@ -27,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import cut, small_batches, table
+from loomline.llm.common import cut, mix, small_batches, table
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 CELL = 512
@@ -172,12 +178,105 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return prints.join(of, "fp")
 
 
+# --- similarity of word five-grams
+
+SIMILAR_SHINGLE, SIMILARITY, STRATA, PER_STRATUM = 5, 0.8, 6, 4
+
+
+def shingle_hashes(text: bytes, shingle: int = SIMILAR_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Distinct hashes of a text's shingles, sorted."""
+    words = text.lower().split()
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)] if words else [], np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = len(words) - shingle + 1
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((h(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())), np.uint64, n))
+
+
+def strata_keys(hashes: np.ndarray) -> list[int]:
+    """Fingerprints of the strata by which a text is looked up, with level and stratum mixed in. The level follows the
+    number of shingles; a text is looked up at its own and the next, so that similar texts on either side of a border
+    meet. Even levels take their first strata, odd ones their last."""
+    if not len(hashes):
+        return []
+    own = max(0, int(np.log2(len(hashes) / PER_STRATUM))) if len(hashes) > PER_STRATUM else 0
+    out = []
+    for level in (own, own + 1):
+        stratum = hashes >> np.uint64(64 - level) if level else np.zeros(len(hashes), np.uint64)
+        low = level % 2 == 0
+        edge = min(STRATA, 1 << level)
+        cut_ = int(np.searchsorted(stratum, np.uint64(edge if low else (1 << level) - edge)))
+        mine, of = (hashes[:cut_], stratum[:cut_]) if low else (hashes[cut_:], stratum[cut_:])
+        if not len(mine):
+            continue
+        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        bits = np.unpackbits(mine.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        set_ = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+        sizes = np.diff(np.concatenate((first, [len(mine)])))
+        prints = np.packbits(set_ * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+        out += mix(prints ^ mix(of[first] + np.uint64((level + 1) << 32))).view(np.int64).tolist()
+    return out
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def similar_links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b: doc_ids of texts found to be similar, verified. Rows without doc_id take no part."""
+    small_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [strata_keys(shingle_hashes(t.as_buffer().to_pybytes())) for t in b.column(1)]
+            n = np.array([len(k) for k in found], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), n))), pa.array([x for k in found for x in k], pa.int64())], ["doc_id", "key"])
+
+    looked = cut(texts.mapInArrow(keys, f"doc_id {kind}, key long"))
+    met = looked.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last")
+    pairs = looked.join(met, "key").select(F.col("doc_id").alias("a"), F.explode(F.array("first", "last")).alias("b")).filter("a <> b")
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    needed = cut(texts.join(ids, "doc_id", "left_semi"))
+    of = lambda side: needed.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[bytes, np.ndarray] = (b"", shingle_hashes(b""))
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3)):
+                first = x.as_buffer().to_pybytes()
+                if first != last[0]:
+                    last = (first, shingle_hashes(first))
+                ok.append(jaccard(last[1], shingle_hashes(y.as_buffer().to_pybytes())) >= similarity)
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], ["a", "b"])
+
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
+    return cut(both.mapInArrow(verify, f"a {kind}, b {kind}"))
+
+
+def similar_components(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id: linked by fingerprints or by similar text."""
+    found = cut(simhash_components(docs).select("doc_id", "component_id"))
+    of = found.filter("component_id is not null").distinct()
+    links = similar_links(docs)
+    ends = links.join(of.withColumnRenamed("doc_id", "a").withColumnRenamed("component_id", "x"), "a").join(of.withColumnRenamed("doc_id", "b").withColumnRenamed("component_id", "y"), "b")
+    roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return found.join(roots.withColumnRenamed("node", "component_id"), "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component, the document with the smallest doc_id stays."""
-    kept = simhash_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__loom_kept_id")).distinct()
+    """Of each component, of fingerprints and similar texts, the document with the smallest doc_id stays."""
+    kept = similar_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__loom_kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__loom_kept_id")), "left_semi")

@@ -121,6 +121,36 @@ def test_simhash_empty_and_stage(spark, docs_of):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
 
 
+def test_similar_texts_are_found_and_others_left(spark, docs_of):
+    """Copies with a few words changed, at 0.8 and more, against all pairs."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    base = [[word() for _ in range(rng.choice([8, 60, 120, 400]))] for _ in range(25)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for i in range(150):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 2, 5])):
+            words[rng.randrange(len(words))] = word()
+        rows.append((100 + i, " ".join(words)))
+    rows += [(900, None), (901, ""), (None, rows[0][1])]
+    ids = [i for i, t in rows if t and i is not None]
+    sets = {i: simhash.shingle_hashes(t.encode()) for i, t in rows if t}
+    got = [(r.a, r.b) for r in simhash.similar_links(docs_of(rows)).collect()]
+    assert all(simhash.jaccard(sets[a], sets[b]) >= 0.8 for a, b in got)
+    label = {i: i for i in ids}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in got:
+        label[root(b)] = root(a)
+    near = [(a, b) for a in ids for b in ids if a < b and simhash.jaccard(sets[a], sets[b]) >= 0.8]
+    assert len(near) > 100 and sum(root(a) != root(b) for a, b in near) <= 0.01 * len(near)
+    assert simhash.similar_links(docs_of([]).limit(0)).count() == 0
+
+
 def repeated_passages(seed):
     rng = random.Random(seed)
     passages = [bytes(rng.choice(b"abcd ") for _ in range(rng.randint(60, 400))) for _ in range(6)] + [b"a" * 300, b"ab" * 200]

@@ -36,12 +36,26 @@ def test_run_matches_brute_force(spark):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     last = {t.translate(lower): i for i, t in zip(docs.doc_id, docs.text)}
     left = docs[[last[t.translate(lower)] == i for i, t in zip(docs.doc_id, docs.text)]]
-    kept, prints = [], []
-    for r in left.sort_values("doc_id").itertuples():
-        f = np.uint64(simhash.fingerprint(r.text.encode()))
-        if all(np.bitwise_count(f ^ p) > 2 for p in prints):
-            kept.append(r)
-        prints.append(f)
+    rows = list(left.sort_values("doc_id").itertuples())
+    prints = np.array([simhash.fingerprint(r.text.encode()) for r in rows], np.uint64)
+    grams = []
+    for r in rows:
+        w = r.text.encode().lower().split()
+        grams.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(grams[i] & grams[j])
+            if np.bitwise_count(prints[i] ^ prints[j]) <= 2 or both >= 0.8 * (len(grams[i]) + len(grams[j]) - both):
+                x, y = root(i), root(j)
+                label[max(x, y)] = min(x, y)
+    kept = [r for i, r in enumerate(rows) if root(i) == i]
     kept = [r for r in kept if not any(b in r.text for b in bench.text)]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = []
