@@ -78,8 +78,9 @@ def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if ids:
             yield _packed(number, ids, parts, lens)
 
-    ordered = docs.select("doc_id", F.col("text").cast("binary")).repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(ordered.mapInArrow(of, f"block long, ids array<{kind}>, lens array<long>, size long, text binary"))
+    schema = f"block long, ids array<{kind}>, lens array<long>, size long, text binary"
+    docs = docs.select("doc_id", F.col("text").cast("binary"))
+    return cut(docs.repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(of, schema), tidy=True)
 
 
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, pa.RecordBatch, int]]:

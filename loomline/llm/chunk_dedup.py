@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm.blocks import DEALT, Block, answers, buckets, dealt, earlier, opened, text_blocks
-from loomline.llm.common import table
+from loomline.llm.common import cut, table
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS, MIN_RUN = 16, 256, 5, 100
 _GEAR = np.random.default_rng(21).integers(0, 1 << 16, 256, np.uint16)
@@ -150,7 +150,7 @@ def chunk_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
             duplicate[answers(b, i, "answers").astype(np.int64) - 1] = True
             yield report(block, removed_runs(begin, end, doc, duplicate, min_run), np.bincount(doc, minlength=len(block.starts)))
 
-    known = earlier(blocks.mapInArrow(send, DEALT), _KEY, _later)
+    known = cut(earlier(blocks.mapInArrow(send, DEALT), _KEY, _later), tidy=True)
     return blocks.join(known, "block", "left").mapInArrow(settle, f"doc_id {kind}, {REPORT}, n_chunks long")
 
 

@@ -5,7 +5,7 @@ longest previous factor is WINDOW or more. In suffix order the suffixes that sha
 neighbours, and with places ascending among them the previous smaller place of each is the one before it. A distributed
 sort brings only the suffixes together for which this is open:
 
-1. Anchors. Of every WINDOW bytes the 32-byte string of smallest hash is an anchor (winnowing), so equal windows have
+1. Anchors. Of every WINDOW bytes the 44-byte string of smallest hash is an anchor (winnowing), so equal windows have
    equal anchors at equal distance. An anchor is sent with the hash of all the bytes that windows around it can reach
    (its context). Answers: the same context stood earlier - all windows around the anchor repeat; else, if it is the
    anchor's only context, none does; else they stay open (the edges of a repeated passage, its first place included).
@@ -33,7 +33,7 @@ from loomline.llm.blocks import DEALT, Block, answers, buckets, dealt, earlier,
 from loomline.llm.chunk_dedup import REPORT, report
 from loomline.llm.common import cut, mix, prefix_hash, random_table, table
 
-WINDOW, GRAM, CONTEXTS = 100, 32, 4
+WINDOW, GRAM, CONTEXTS = 100, 44, 4
 _BASE = 0xD1342543DE82EF95
 _TABLE = random_table(31)
 _ANCHOR = np.dtype([("k", "<u8"), ("c", "<u8"), ("at", "<u4")])
@@ -229,10 +229,9 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             starts[answers(b, i, "answers").astype(np.int64) - 1] = True
             yield report(block, anchors.covered(starts))
 
-    about = cut(earlier(blocks.mapInArrow(send, DEALT), _ANCHOR, judge_anchors).withColumnRenamed("answers", "anchors"))
-    with_anchors = blocks.join(about, "block", "left")
-    windows = cut(earlier(with_anchors.mapInArrow(send_open, DEALT), _OPEN, judge_open))
-    return with_anchors.join(windows, "block", "left").mapInArrow(settle, f"doc_id {kind}, {REPORT}")
+    about = cut(earlier(blocks.mapInArrow(send, DEALT), _ANCHOR, judge_anchors).withColumnRenamed("answers", "anchors"), tidy=True)
+    windows = cut(earlier(blocks.join(about, "block", "left").mapInArrow(send_open, DEALT), _OPEN, judge_open), tidy=True)
+    return blocks.join(about, "block", "left").join(windows, "block", "left").mapInArrow(settle, f"doc_id {kind}, {REPORT}")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
