@@ -75,6 +75,22 @@ def instruction(prompt: Column, few_shot: Column) -> Column:
     return F.when(shown, F.concat(prompt, F.lit("\n\n### 你的原著台词示例（参考这个风格说话）\n"), few_shot)).otherwise(prompt)
 
 
+def compact_profile(s: str = "") -> Column:
+    """A state as JSON for a prompt, its lists cut to the first few."""
+    first = lambda n, k: F.slice(F.col(f"{s}{n}"), 1, k).alias(n)
+    return F.to_json(
+        F.struct(
+            F.col(f"{s}name").alias("name"),
+            F.col(f"{s}identity").alias("identity"),
+            first("personality_traits", 3),
+            first("known_facts", 10),
+            first("key_memories", 5),
+            first("goals", 3),
+            first("relationships", 5),
+        )
+    )
+
+
 def sft_rows(items: DataFrame, states: DataFrame) -> DataFrame:
     """items: character, chapter, question, answer, few_shot. states: name, cp and the fields of a state. Items without
     a state as of their chapter go."""

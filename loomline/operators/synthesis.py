@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.text import bad_answer, bad_question, clean_answer, recover_json, string_items
-from loomline.operators.dialogue import attributed, candidate_chapters
+from loomline.functions.text import bad_answer, bad_question, clean_answer, clean_dialogues, confirmed, recover_json, string_items
+from loomline.operators.dialogue import attributed, candidate_chapters, validated
 from loomline.operators.fold import states_as_of
 from loomline.operators.ranking import changed_only, checkpoints, even_sample, has_material, intent_plan, quota_pick
 from loomline.operators.render import fill, state_prompt
@@ -16,6 +16,8 @@ from loomline.sources.providers import Provider
 #: Prompts are our own wording; {name} places are filled from columns.
 QUESTIONS = "你在采访角色 {name}（第{cp}章）。角色资料：\n{state}\n请以「{intent}」为题写 {quota} 个问题，只输出 JSON 字符串数组。"
 FACT_QUESTIONS = "角色 {name} 不知道这件事：{fact}\n请写 {quota} 个会触及它的问题，只输出 JSON 字符串数组。"
+SUGGEST = "请从下文列出 {name} 说过的话，一行一句，最多 {n} 句，没有就写无。\n{text}"
+WHOSE = "下面这句话是不是 {name} 说的？只回答是或否。\n话：{line}\n上下文：{context}"
 ANSWER = "请以 {name} 的身份回答，只依据资料。\n资料：\n{state}\n台词示例：\n{few_shot}\n问题：{question}"
 LEAKY = "请以 {name} 的身份回答，并有意说出：{fact}\n资料：\n{state}\n问题：{question}"
 LEAKED = "资料之外的事实：{fact}\n回答：{answer}\n回答是否透露了它？只输出 JSON：{\"leaked\": true 或 false}"
@@ -38,19 +40,37 @@ def preference_states(states: DataFrame) -> DataFrame:
     return changed_only(states.filter(F.size("unknown_facts") > 0), "doc_id", "name")
 
 
-def few_shot(states: DataFrame, chapters: DataFrame, examples: int = 8, most: int = 6, read: int = 2500) -> DataFrame:
-    """doc_id, name, cp, few_shot: lines with evidence for the speaker from evenly sampled chapters, computed once per
-    character and checkpoint."""
+def few_shot(states: DataFrame, chapters: DataFrame, examples: int = 8, most: int = 6, read: int = 2500, provider: Provider | None = None) -> DataFrame:
+    """doc_id, name, cp, few_shot: lines from evenly sampled chapters, computed once per character and checkpoint. With a
+    provider its own suggestions join the candidates, and each candidate with a context is put to it for a yes or no."""
     keys = states.select("doc_id", "name", "cp").distinct()
     picked = candidate_chapters(keys, chapters).select("doc_id", "name", "cp", F.posexplode(even_sample(F.col("indexes"), most)).alias("at", "index"))
     parts = picked.join(chapters.select("doc_id", "index", F.left("content", F.lit(read)).alias("part")), ["doc_id", "index"])
     text = parts.groupBy("doc_id", "name", "cp").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "\n\n---\n\n").alias("text"))
     found = attributed(keys.join(text, ["doc_id", "name", "cp"], "left"), examples)
-    lines = F.slice(F.array_distinct(F.concat("strict", "ambiguous")), 1, examples)
+    candidates = F.array_distinct(F.concat("strict", "ambiguous"))
+    if provider is None:
+        found = found.withColumn("lines", F.slice(candidates, 1, examples))
+    else:
+        told = _asked(found, provider, fill(SUGGEST, name=F.col("name"), text=F.col("text"), n=F.lit(examples))).drop("prompt", "attempt")
+        said = F.filter(F.split(clean_dialogues(F.coalesce(told["text"], F.lit("")), 2 * examples), "\n", -1), lambda x: F.length(x) >= 3)
+        found = _validated_lines(told.withColumn("candidates", F.array_distinct(F.concat(candidates, said))), keys.join(text, ["doc_id", "name", "cp"], "left"), provider, examples)
+    lines = F.col("lines")
     none = F.concat(F.lit("（暂无"), F.col("name"), F.lit("的台词示例）"))
     return found.select("doc_id", "name", "cp", F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(none).alias("few_shot"))
 
 
+def _validated_lines(found: DataFrame, texts: DataFrame, provider: Provider, examples: int) -> DataFrame:
+    keys = ["doc_id", "name", "cp"]
+    each = found.select(*keys, F.posexplode("candidates").alias("at", "line")).join(texts, keys)
+    first = validated(each.withColumn("reply", F.lit(None).cast("string"))).filter("keep").drop("reply", "keep")
+    ask = first.filter("context <> ''").withColumn("chapter_text", F.col("text")).drop("text")
+    replies = _asked(ask, provider, fill(WHOSE, name=F.col("name"), line=F.col("line"), context=F.col("context"))).select(*keys, "at", F.col("text").alias("reply"))
+    kept = first.join(replies, [*keys, "at"], "left").filter((F.col("context") == "") | F.coalesce(confirmed(F.col("reply")), F.lit(True)))
+    lines = kept.groupBy(*keys).agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), 1, examples).alias("lines"))
+    return found.select(*keys).join(lines, keys, "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
+
+
 def _asked(rows: DataFrame, provider: Provider, prompt: Column) -> DataFrame:
     rows = rows if "attempt" in rows.columns else rows.withColumn("attempt", F.lit(0))
     return provider.complete(rows.withColumn("prompt", prompt))

@@ -7,7 +7,7 @@ import json
 import os
 import urllib.request
 from abc import ABC, abstractmethod
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -44,6 +44,32 @@ class RuleProvider(Provider):
         return requests.withColumn("text", self.rule)
 
 
+_LOADED: dict[str, Callable[[list[str]], list[str | None]]] = {}
+
+
+@dataclass
+class LocalProvider(Provider):
+    """A model loaded once per Python worker. load returns a function from prompts to texts; key names it in the cache."""
+
+    key: str
+    load: Callable[[], Callable[[list[str]], list[str | None]]]
+
+    def complete(self, requests: DataFrame) -> DataFrame:
+        key, load = self.key, self.load
+        schema = requests.schema.simpleString()[len("struct<") : -1]
+
+        def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from loomline.sources import providers
+
+            if key not in providers._LOADED:
+                providers._LOADED[key] = load()
+            for b in batches:
+                texts = providers._LOADED[key](b.column("prompt").to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "text"])
+
+        return requests.mapInArrow(call, f"{schema}, text string")
+
+
 # fixed values: endpoints, key variables and default models of the presets
 PRESETS = {
     "deepseek": ("https://api.deepseek.com", "DEEPSEEK_API_KEY", "deepseek-chat"),

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds that a write must take for tidying to be worth a wait, and that the bridge to the JVM needs to let go.
+LONG_WRITE_S, RELEASE_S = 4, 1.5
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
@@ -20,15 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs
-    only the tasks it held. The table goes when the application ends. tidy: the shuffle files behind df go at once, if
-    nothing else holds its plan; else Spark keeps them until the driver happens to collect its garbage."""
-    spark, schema = df.sparkSession, df.schema
+    only the tasks it held. The table goes when the application ends. tidy: after a long write the shuffle files behind
+    df go at once, if nothing else holds its plan; else Spark keeps them until the driver happens to collect its
+    garbage."""
+    spark, schema, began = df.sparkSession, df.schema, time.monotonic()
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    if tidy:
+    if tidy and time.monotonic() - began > LONG_WRITE_S:
         del df
         gc.collect()
+        time.sleep(RELEASE_S)
         spark._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)

@@ -393,3 +393,32 @@ def test_incremental_ingest(spark, deltas, tmp_path):
     batch, stream = fold.current_states(deltas), fold.current_states(ingest.read_deltas(spark, str(out)))
     assert sorted(map(str, batch.drop("first_seen").collect())) == sorted(map(str, stream.drop("first_seen").collect()))
     assert ingest.read_deltas(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_streams_dedup_and_count(spark, tmp_path):
+    source = tmp_path / "rows"
+    source.mkdir()
+    (source / "a.json").write_text('{"k":1,"v":"a"}\n{"k":1,"v":"a"}\n{"k":2,"v":"b"}')
+    run = lambda: ingest.stream_first_wins(spark, str(source), "k int, v string", str(tmp_path / "t"), str(tmp_path / "cp"), ["k"]).awaitTermination()
+    run()
+    (source / "b.json").write_text('{"k":2,"v":"late"}\n{"k":3,"v":"c"}')
+    run()
+    assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    events = tmp_path / "events"
+    events.mkdir()
+    (events / "a.json").write_text("\n".join('{"ts":"2024-01-0%dT10:00:00Z","user_id":1,"event_type":"x"}' % d for d in (1, 1, 2, 3)))
+    rows = spark.readStream.schema("ts timestamp, user_id bigint, event_type string").json(str(events))
+    stream = ingest.stream_day_counts(rows).writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    assert sorted(r["count"] for r in spark.table("days").collect()) == [1, 1, 2]
+
+
+def test_edges_of_text_functions(spark):
+    assert one(spark, t.strip(F.lit("　 a b "))) == "a b"
+    assert one(spark, t.truncate_middle(F.lit(""), 5)) == ""
+    assert one(spark, t.clean_dialogues(F.lit(""), 3)) == ""
+    assert one(spark, t.string_items(F.lit(None).cast("string"))) == []
+    assert one(spark, t.recover_json(F.lit(None).cast("string"))) is None
+    assert one(spark, t.bad_question(F.lit("老李(a.b)怎么了呢今天"), F.lit("阿明"), F.array(F.lit("李(a.b)")))) is True
+    assert one(spark, t.ratio(F.lit(1), F.lit(0))) == 0.0
+    assert one(spark, segment.greedy_chunks(F.array().cast("array<string>"), 5)) == []
