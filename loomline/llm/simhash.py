@@ -13,10 +13,11 @@ Only links that span what is connected leave a cell. Components come from altern
 each written to the shared folder; nothing goes to the driver but two numbers a round.
 
 similar_components() adds the links of texts whose word five-grams have a Jaccard similarity of 0.8 or more, which 64 bits
-cannot tell from chance at any distance that a join could afford: the five-grams are dealt into strata by their hashes,
-about PER_STRATUM to each, and every stratum has its own fingerprint. Texts that share one of STRATA fingerprints with
-the first or last text that has it become candidates, and the five-grams themselves verify exactly. The pipeline's stage
-takes these links and those of the fingerprints together.
+cannot tell from chance at any distance that a join could afford. Of n five-grams in an order that all texts share, rare
+ones first, two such texts share one among their first n - 0.8 n + 1 (a prefix filter, exact with any order). Texts of the
+same five-grams are one. Those that share a key are first compared with its middle, the text that shares most; then all
+that is left outside a key's largest component is compared with the rest of the key, save where lengths and places rule
+it out. The five-grams themselves verify. The pipeline's stage takes these links and those of the fingerprints together.
 
 Nulls and texts without words get fingerprint zero, linked like any other. A text of fewer words than a shingle is one
 shingle. component_id is null only if every doc_id of a component is null. Rows that repeat stay separate rows. An
@@ -180,7 +181,10 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 # --- similarity of word five-grams
 
-SIMILAR_SHINGLE, SIMILARITY, STRATA, PER_STRATUM = 5, 0.8, 6, 4
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Texts looked at to learn which five-grams are common, in how many of them those stand, and how many are kept. They
+#: order the five-grams; what is found is the same with any order.
+SAMPLE, COMMON, MOST = 20_000, 3, 500_000
 
 
 def shingle_hashes(text: bytes, shingle: int = SIMILAR_SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -196,29 +200,15 @@ def shingle_hashes(text: bytes, shingle: int = SIMILAR_SHINGLE, seed: int = SEED
     return np.unique(np.fromiter((h(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())), np.uint64, n))
 
 
-def strata_keys(hashes: np.ndarray) -> list[int]:
-    """Fingerprints of the strata by which a text is looked up, with level and stratum mixed in. The level follows the
-    number of shingles; a text is looked up at its own and the next, so that similar texts on either side of a border
-    meet. Even levels take their first strata, odd ones their last."""
+def rare_first(hashes: np.ndarray, common: np.ndarray, times: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The part of a text's shingles, by rising times and then hash, of which any text as similar holds one in its own
+    part. common is sorted."""
     if not len(hashes):
-        return []
-    own = max(0, int(np.log2(len(hashes) / PER_STRATUM))) if len(hashes) > PER_STRATUM else 0
-    out = []
-    for level in (own, own + 1):
-        stratum = hashes >> np.uint64(64 - level) if level else np.zeros(len(hashes), np.uint64)
-        low = level % 2 == 0
-        edge = min(STRATA, 1 << level)
-        cut_ = int(np.searchsorted(stratum, np.uint64(edge if low else (1 << level) - edge)))
-        mine, of = (hashes[:cut_], stratum[:cut_]) if low else (hashes[cut_:], stratum[cut_:])
-        if not len(mine):
-            continue
-        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-        bits = np.unpackbits(mine.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        set_ = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-        sizes = np.diff(np.concatenate((first, [len(mine)])))
-        prints = np.packbits(set_ * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
-        out += mix(prints ^ mix(of[first] + np.uint64((level + 1) << 32))).view(np.int64).tolist()
-    return out
+        return hashes
+    if len(common):
+        k = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        hashes = hashes[np.argsort(np.where(common[k] == hashes, times[k], 0), kind="stable")]
+    return hashes[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -226,25 +216,53 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of the sampled texts hold, sorted, and in how many."""
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_hashes(t.as_buffer().to_pybytes()) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))] if found else [pa.array([], pa.int64())], ["h"])
+
+    some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else texts
+    got = some.select("text").distinct().mapInArrow(each, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
+    got = got.orderBy(F.desc("n"), "h").limit(MOST).toPandas()
+    h, n = got.h.to_numpy(np.int64).view(np.uint64), got.n.to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _could(similarity: float, x: tuple[str, str], y: tuple[str, str]):
+    """Whether texts (shingles, place of the shared one) can be that similar, as far as lengths and places tell."""
+    (n, i), (m, j) = [[F.col(c) for c in side] for side in (x, y)]
+    return F.least(n - i, m - j) >= (n + m) * (similarity / (1 + similarity)) - 1e-6
+
+
 def similar_links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b: doc_ids of texts found to be similar, verified. Rows without doc_id take no part."""
+    """a, b: doc_ids of similar texts, verified, that connect all texts which are similar. Rows without doc_id take no
+    part."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    common, times = _common(texts)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [strata_keys(shingle_hashes(t.as_buffer().to_pybytes())) for t in b.column(1)]
-            n = np.array([len(k) for k in found], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), n))), pa.array([x for k in found for x in k], pa.int64())], ["doc_id", "key"])
-
-    looked = cut(texts.mapInArrow(keys, f"doc_id {kind}, key long"))
-    met = looked.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last")
-    pairs = looked.join(met, "key").select(F.col("doc_id").alias("a"), F.explode(F.array("first", "last")).alias("b")).filter("a <> b")
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    needed = cut(texts.join(ids, "doc_id", "left_semi"))
-    of = lambda side: needed.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
+            found = [shingle_hashes(t.as_buffer().to_pybytes()) for t in b.column(1)]
+            keys = [rare_first(h, common, times, similarity).view(np.int64) for h in found]
+            offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            digest = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), digest, pa.array([len(h) for h in found], pa.int32()), listed], ["doc_id", "digest", "n", "keys"])
+
+    looked = cut(texts.mapInArrow(parts, f"doc_id {kind}, digest binary, n int, keys array<long>").filter("n > 0"))
+    first = cut(looked.groupBy("digest").agg(F.min("doc_id").alias("first")))
+    copies = looked.join(first, "digest").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
+    distinct = looked.join(first.withColumnRenamed("first", "doc_id"), ["digest", "doc_id"]).dropDuplicates(["digest"])
+    keyed = distinct.select(F.col("doc_id").alias("id"), "n", F.posexplode("keys").alias("i", "key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    shared = cut(keyed.join(sizes, "key"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes, np.ndarray] = (b"", shingle_hashes(b""))
@@ -257,8 +275,27 @@ def similar_links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 ok.append(jaccard(last[1], shingle_hashes(y.as_buffer().to_pybytes())) >= similarity)
             yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
-    return cut(both.mapInArrow(verify, f"a {kind}, b {kind}"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        needed = cut(texts.join(ids, "doc_id", "left_semi"))
+        of = lambda side: needed.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
+        return cut(both.mapInArrow(verify, f"a {kind}, b {kind}").distinct())
+
+    # each text with the middle of its key: the one that shares most, as an original among its edited copies does
+    score = shared.groupBy("id").agg(F.sum("m").alias("score"))
+    middle = shared.join(score, "id").groupBy("key").agg(F.max(F.struct("score", "id", "n", "i")).alias("c")).select("key", F.col("c.id").alias("c"), F.col("c.n").alias("cn"), F.col("c.i").alias("ci"))
+    near = verified(shared.join(middle, "key").filter(_could(similarity, ("n", "i"), ("cn", "ci"))).select(F.col("id").alias("a"), F.col("c").alias("b")))
+
+    # what a key still holds apart from its largest component, with all of the key that is not connected to it
+    roots = components(near)
+    placed = cut(shared.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    most = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    apart = placed.join(most, "key").filter("root <> most").select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("i").alias("ai"), F.col("root").alias("ra"))
+    others = placed.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"), F.col("root").alias("rb"))
+    rest = apart.join(others, "key").filter("ra <> rb").filter(_could(similarity, ("an", "ai"), ("bn", "bi"))).select("a", "b")
+    return near.unionByName(verified(rest)).unionByName(copies)
 
 
 def similar_components(docs: DataFrame) -> DataFrame:

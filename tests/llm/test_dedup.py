@@ -151,6 +151,27 @@ def test_similar_texts_are_found_and_others_left(spark, docs_of):
     assert simhash.similar_links(docs_of([]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [30, 2000])
+def test_edited_copies_meet_through_their_original(docs_of, copies):
+    """Each copy is 0.8 similar to the original and to hardly any other copy."""
+    rng = random.Random(copies)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9)))
+    base = [word() for _ in range(100)]
+    texts = [" ".join(base)]
+    for _ in range(copies):
+        words = list(base)
+        for k in rng.sample(range(100), 2):
+            words[k] = word()
+        texts.append(" ".join(words))
+    ids = rng.sample(range(10 * copies), len(texts))
+    rows = list(zip(ids, texts)) + [(100_000 + i, " ".join(word() for _ in range(100))) for i in range(20)]
+    sets = {i: simhash.shingle_hashes(t.encode()) for i, t in rows}
+    assert all(simhash.jaccard(sets[ids[0]], sets[i]) >= 0.8 for i in ids)
+    links = simhash.similar_links(docs_of(rows))
+    got = {r.node: r.root for r in simhash.components(links).collect()}
+    assert got == {i: min(ids) for i in ids}
+
+
 def repeated_passages(seed):
     rng = random.Random(seed)
     passages = [bytes(rng.choice(b"abcd ") for _ in range(rng.randint(60, 400))) for _ in range(6)] + [b"a" * 300, b"ab" * 200]
