@@ -3,9 +3,11 @@
 Words are runs of letters, digits and bytes beyond ASCII, A-Z lower-cased. Every item has its word trigrams as seeds (an
 item of fewer words is one seed). A first pass over all documents counts in how many of them each seed occurs. A seed is
 rare for its item if that count is at most RARE times that of the item's rarest quarter: the scale comes from the item
-itself, so an item that leaked into a third of the corpus still has seeds, and seeds of everyday words drop out. A
-second pass looks the rare seeds up in every document and aligns each place that they point at with the item, in
-batches: match 2, mismatch -1, gap -1, the best local score as a share of that of the whole item.
+itself. A second pass looks the seeds up in every document and aligns the places that they point at with the item, in
+batches: match 2, mismatch -1, gap -1, the best local score as a share of that of the whole item. A rare seed's place is
+always aligned; that of any other seed (everyday words, or an excerpt that stands in many documents) unless its words
+alone show that it can't reach the least score: each word of the item counts 2, any other -1, and no alignment scores
+more than the best run of these. No seed is left out.
 
 The items are looked up in blocks of at most BLOCK_CHARS characters, each sent to all tasks: the size of what is
 broadcast is bounded, and a larger benchmark takes more passes.
@@ -17,7 +19,8 @@ Repeated documents or items each give their row. Empty tables give no rows. Othe
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,7 @@ _BASE = 0x9E3779B97F4A7C15
 _TABLE = random_table(11)
 _SALTS = random_table(12, 8)
 _BLOCK = 1 << 20
+_SLOTS, _PIECE = 1024, 1 << 20
 
 _WORD = np.zeros(256, np.uint8)
 for _span, _to in ((range(0x30, 0x3A), 0), (range(0x61, 0x7B), 0), (range(0x41, 0x5B), 0x20), (range(0x80, 0x100), 0)):
@@ -69,6 +73,7 @@ class Items:
     item: np.ndarray
     place: np.ndarray
     size: np.ndarray
+    rare: np.ndarray
 
     @classmethod
     def of(cls, ids: list, texts: list[str], seed_words: int = SEED_WORDS) -> Items:
@@ -84,10 +89,15 @@ class Items:
                 rows.append((g, np.full(len(g), i), np.arange(len(g)), np.full(len(g), size)))
         seeds, item, place, size = (np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
         order = np.argsort(seeds, kind="stable")
-        return cls(ids, words, seeds[order], item[order], place[order], size[order])
+        return cls(ids, words, seeds[order], item[order], place[order], size[order], np.ones(len(order), bool))
 
-    def keep(self, mask: np.ndarray) -> Items:
-        return Items(self.ids, self.words, *(x[mask] for x in (self.seeds, self.item, self.place, self.size)))
+    @cached_property
+    def holds(self) -> np.ndarray:
+        """Of each item, which low bits its words have."""
+        out = np.zeros((len(self.words), _SLOTS), bool)
+        for i, w in enumerate(self.words):
+            out[i, (w % np.uint64(_SLOTS)).astype(np.int64)] = True
+        return out
 
     def lookup(self, words: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word position, distinct seed value's first row) of every seed that occurs inside one text."""
@@ -121,26 +131,54 @@ def smith_waterman(items: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return best
 
 
-def align(items: Items, words: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, item, share of the item's score) of every pair that a seed points at, best place each."""
-    at, row = items.lookup(words, of)
-    if not len(at):
+def most(items: Items, item: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A score that no alignment of each item with words[lo:hi] exceeds."""
+    out = np.zeros(len(item), np.int64)
+    order = np.argsort(hi - lo, kind="stable")
+    at = 0
+    while at < len(order):
+        k = order[at : at + 4096]
+        k = k[: max(1, _PIECE // max(1, int((hi[k] - lo[k]).max())))]
+        at += len(k)
+        width = int((hi[k] - lo[k]).max())
+        if width > 0:
+            pos = lo[k, None] + np.arange(width)
+            slot = (words[np.minimum(pos, len(words) - 1)] % np.uint64(_SLOTS)).astype(np.int64)
+            gain = np.where(items.holds[item[k, None], slot] & (pos < hi[k, None]), MATCH, GAP)
+            run = np.concatenate((np.zeros((len(k), 1), np.int64), np.cumsum(gain, axis=1)), axis=1)
+            out[k] = (run - np.minimum.accumulate(run, axis=1)).max(1)
+    return out
+
+
+def align(items: Items, words: np.ndarray, of: np.ndarray, min_score: float = MIN_SCORE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, share of the item's score) of every pair that a seed points at, best place each; 0 where all places
+    are sure to be below min_score."""
+    found, found_row = items.lookup(words, of)
+    if not len(found):
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-    end = np.searchsorted(items.seeds, items.seeds[row], "right")
-    times = end - row
-    at = np.repeat(at, times)
-    row = np.repeat(row, times) + (np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times))
-    item, text = items.item[row], of[at]
     lengths = np.array([len(w) for w in items.words])
-    pad = lengths[item] // 2 + 2
-    begin = (at - items.place[row]) // pad * pad - pad
-    spots = np.unique(np.column_stack([text, item, begin]), axis=0)
+    times = np.searchsorted(items.seeds, items.seeds[found_row], "right") - found_row
+    done, parts, start = np.cumsum(times), [], 0
+    while start < len(found):
+        end = max(start + 1, int(np.searchsorted(done, done[start] - times[start] + _PIECE, "right")))
+        n = times[start:end]
+        at = np.repeat(found[start:end], n)
+        row = np.repeat(found_row[start:end], n) + (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n))
+        pad = lengths[items.item[row]] // 2 + 2
+        parts.append(np.unique(np.column_stack([of[at], items.item[row], (at - items.place[row]) // pad * pad - pad, ~items.rare[row]]), axis=0))
+        start = end
+    spots = np.unique(np.concatenate(parts), axis=0)  # a place's rare seeds stand before its others
+    spots = spots[np.concatenate(([True], (spots[1:, :3] != spots[:-1, :3]).any(1)))]
     first, last = np.searchsorted(of, spots[:, 0], "left"), np.searchsorted(of, spots[:, 0], "right")
     m = lengths[spots[:, 1]]
     lo = np.maximum(first, spots[:, 2])
     hi = np.minimum(last, spots[:, 2] + m + 3 * (m // 2 + 2))
+    open_ = spots[:, 3] == 0
+    k = np.flatnonzero(~open_)
+    open_[k] = most(items, spots[k, 1], words, lo[k], hi[k]) >= min_score * MATCH * m[k] - 1e-6
     share = np.zeros(len(spots))
-    order = np.argsort(m, kind="stable")
+    order = np.flatnonzero(open_)
+    order = order[np.argsort(m[order], kind="stable")]
     at = 0
     while at < len(order):
         widest = int(m[order[at : at + 256]].max())
@@ -179,7 +217,7 @@ def item_blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[Item
 
 
 def rare_seeds(docs: DataFrame, items: Items, rare: int = RARE) -> Items:
-    """The items with the seeds that are rare over all documents."""
+    """The items, with their seeds that are rare over all documents marked."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(len(items.seeds), np.int64)
@@ -196,11 +234,11 @@ def rare_seeds(docs: DataFrame, items: Items, rare: int = RARE) -> Items:
     df = np.zeros(len(items.seeds), np.int64)
     df[total.row] = total.n
     df = df[np.searchsorted(items.seeds, items.seeds, "left")]  # counted at the first row of each value
-    keep = np.zeros(len(df), bool)
+    few = np.zeros(len(df), bool)
     order = np.argsort(items.item, kind="stable")
     for mine in np.split(order, np.flatnonzero(np.diff(items.item[order])) + 1):
-        keep[mine] = df[mine] <= rare * max(1, np.quantile(df[mine], 0.25, method="lower"))
-    return items.keep(keep)
+        few[mine] = df[mine] <= rare * max(1, np.quantile(df[mine], 0.25, method="lower"))
+    return replace(items, rare=few)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
@@ -217,7 +255,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
         def of(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for start, _, data, offsets in text_views(b, "text", _BLOCK):
-                    text, item, score = align(items, *word_hashes(data, offsets))
+                    text, item, score = align(items, *word_hashes(data, offsets), min_score)
                     ok = score >= min_score
                     ids = b.column(0).take(pa.array(start + text[ok], pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids, pa.array([items.ids[i] for i in item[ok]], item_type), pa.array(score[ok])], ["doc_id", "item_id", "score"])

@@ -259,6 +259,30 @@ def test_item_in_a_third_of_the_corpus_still_has_seeds(spark):
     assert {r.doc_id for r in decontamination.contaminated(docs, bench).collect()} == set(range(0, 300, 3))
 
 
+@pytest.mark.parametrize("copies", [10, 300])
+def test_excerpts_and_edited_copies_in_many_documents(spark, copies):
+    """Seeds that the other seeds of their item make look common still lead to every copy."""
+    rng = random.Random(copies)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    text = lambda n: [word() for _ in range(n)]
+    items = [text(60) for _ in range(3)]
+    edited = [word() if j % 5 == 2 else x for j, x in enumerate(items[1])]
+    leaks = [(0, items[0][:40])] * copies + [(1, edited)] * copies + [(2, items[2][:40])] * copies + [(2, items[2])]
+    docs = [(i, " ".join(text(30) + leak + text(30))) for i, (_, leak) in enumerate(leaks)] + [(10_000 + i, " ".join(text(90))) for i in range(50)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, k) for i, (k, _) in enumerate(leaks)]
+
+
+def test_bound_is_never_below_the_alignment():
+    rng = np.random.default_rng(12)
+    words = rng.integers(0, 9, 400).astype(np.uint64) + 2
+    items = decontamination.Items([0], [rng.integers(0, 9, 12).astype(np.uint64) + 2], *[np.zeros(0, np.int64)] * 5)
+    lo = rng.integers(0, 370, 50)
+    bound = decontamination.most(items, np.zeros(50, np.int64), words, lo, lo + 30)
+    assert all(b >= brute_alignment(items.words[0].tolist(), words[i : i + 30].tolist()) for b, i in zip(bound, lo))
+
+
 def test_benchmark_in_blocks(spark):
     bench = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i} delta{i}") for i in range(9)], "item_id long, text string")
     assert sum(len(b.ids) for b in decontamination.item_blocks(bench, 60)) == 9
