@@ -112,6 +112,19 @@ SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '[
 )
 
 
+def clean_line_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clean_line over every line of each document."""
+    return segment.lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", t.clean_line(F.col("line")).alias("line"))
+
+
+CLEAN_WHOLE = (
+    "WITH x AS (" + LINES + r""")
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '[（(][^）)]{1,30}[）)]', '', 'g'), '^[\p{L}\p{M}\p{N}_·]{1,8}[说：:][\s　]*', ''),
+  '^["'']+|["'']+$', '', 'g'), '^[\s　]+|[\s　]+$', '', 'g') AS line FROM x
+"""
+)
+
+
 def ordered_lines_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(t.distinct_kept(F.split("text", "\n", -1)), "\n").alias("lines"))
 
@@ -300,6 +313,22 @@ SELECT doc_id, name, coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FIL
 """
 
 
+def contains_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contains_join up to the last line of each document."""
+    docs = table(spark, sf_dir, "documents")
+    chapters = segment.lines(docs).select("doc_id", (F.col("line_no") + 1).alias("index"), F.col("line").alias("content"))
+    first = F.lower(F.regexp_extract("text", r"^[A-Za-z]+", 0))
+    names = docs.select("doc_id", F.explode(F.array(first, F.lit("zzzz"))).alias("name"), F.size(F.split("text", "\n", -1)).alias("cp")).filter("name <> ''")
+    return dialogue.candidate_chapters(names, chapters).select("doc_id", "name", F.array_join(F.transform("indexes", lambda i: i.cast("string")), ",").alias("indexes"))
+
+
+CONTAINS_WHOLE = f"""
+WITH l AS ({LINES}), n AS (SELECT doc_id, lower(regexp_extract(text, '^[A-Za-z]+')) AS name FROM documents UNION ALL SELECT doc_id, 'zzzz' FROM documents),
+u AS (SELECT n.doc_id, n.name, line_no + 1 AS i, contains(line, name) AS has FROM n JOIN l ON l.doc_id = n.doc_id WHERE name <> '')
+SELECT doc_id, name, coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (WHERE has), string_agg(CAST(i AS VARCHAR), ',' ORDER BY i)) AS indexes FROM u GROUP BY doc_id, name
+"""
+
+
 def section_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections and bullets of instructions put together from each text's first lines."""
     line = lambda i: F.substring(F.coalesce(F.get(F.split("text", "\n", -1), F.lit(i)), F.lit("x")), 1, 30)
@@ -403,6 +432,7 @@ QUERIES = {
     "truncate_middle": (truncate_middle, TRUNCATE),
     "normalize_title": (normalize_title, TITLE),
     "clean_line": (clean_line, CLEAN),
+    "clean_line_whole": (clean_line_whole, CLEAN_WHOLE),
     "ordered_lines_distinct": (ordered_lines_distinct, DISTINCT),
     "first_clause": (first_clause, CLAUSE),
     "substring_counts": (substring_counts, COUNTS),
@@ -415,6 +445,7 @@ QUERIES = {
     "state_prompts": (prompts, PROMPT),
     "quota_pick": (quota_pick, QUOTA),
     "contains_join": (contains_join, CONTAINS),
+    "contains_join_whole": (contains_join_whole, CONTAINS_WHOLE),
     "section_extract": (section_extract, SECTION),
     "json_defaults": (json_defaults, JSON),
     "extraction_stats": (extraction_stats, STATS),

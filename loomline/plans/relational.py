@@ -107,6 +107,21 @@ SELECT question, chosen, CASE WHEN leak_at < safe_at THEN leak ELSE fallback END
 WHERE safe_at IS NOT NULL AND chosen <> '' AND CASE WHEN leak_at < safe_at THEN leak ELSE fallback END <> ''
 """
 
+
+def preference_rows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """preference_rows with answers uncut."""
+    tries = labelled(spark, sf_dir).select(
+        F.floor(F.col("doc_id") / 4).alias("question"),
+        (F.col("doc_id") % 4).alias("attempt"),
+        F.col("text").alias("answer"),
+        F.when(F.col("quality") == 1, F.col("toxic") == 1).alias("leaked"),
+        F.col("source").alias("fallback"),
+    )
+    return prepare.complete(reward.chosen_rejected(tries, "question", most=4), "chosen", "rejected")
+
+
+PREFERENCE_WHOLE = PREFERENCE.replace("substr(text, 1, 60)", "text")
+
 #: Driver texts hold none of the Chinese phrases, so these rules carry patterns that they do hold.
 RULES = replace(ZH, disclaimer="License", third_person="the (of|and)", narration_over=3000, numbered_bold=r"(?md)^[A-Z][a-z]{14,}", first_person="|")
 
@@ -316,6 +331,15 @@ FROM documents JOIN labels USING (doc_id) GROUP BY 1
 """
 
 
+def accepted_attempt_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """accepted_attempt with answers uncut."""
+    tries = labelled(spark, sf_dir).select(F.floor(F.col("doc_id") / 3).alias("question"), (F.col("doc_id") % 3).alias("attempt"), F.col("text").alias("answer"), (F.col("toxic") == 1).alias("ok"))
+    return reward.accepted_attempt(tries, "question")
+
+
+ACCEPTED_WHOLE = ACCEPTED.replace("substr(text, 1, 40)", "text")
+
+
 def shuffled_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [md5_order("doc_id").alias("h"), F.col("doc_id")]
     return prepare.ranked(table(spark, sf_dir, "labels").select("doc_id"), order).select("doc_id", "rank")
@@ -330,6 +354,7 @@ QUERIES = {
     "grpo_projection": (grpo_projection, GRPO),
     "sampled_pairs": (sampled_pairs, SAMPLED),
     "preference_rows": (preference_rows, PREFERENCE),
+    "preference_rows_whole": (preference_rows_whole, PREFERENCE_WHOLE),
     "reward_ladder": (reward_ladder, LADDER),
     "hard_rule_flags": (hard_rule_flags, FLAGS),
     "boundary_rate": (boundary_rate, BOUNDARY),
@@ -344,5 +369,6 @@ QUERIES = {
     "even_sample": (even_sample, EVEN),
     "chat_prompts": (chat_prompts, PROMPTS),
     "accepted_attempt": (accepted_attempt, ACCEPTED),
+    "accepted_attempt_whole": (accepted_attempt_whole, ACCEPTED_WHOLE),
     "shuffled_order": (shuffled_order, SHUFFLED),
 }
