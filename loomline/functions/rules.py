@@ -69,3 +69,6 @@ ZH = Pack()
 
 # fixed values: kinds of questions, in order
 INTENTS = ("事实追问", "情绪追问", "关系追问", "观点追问", "行动追问", "日常闲聊", "打招呼问候", "情绪陪伴")
+
+#: What each kind asks for, in our own words, in the same order.
+INTENT_SCOPE = ("查证经历和知道的事", "问当下的感受", "问与他人的关系", "问看法和判断", "问打算和做法", "闲谈日常", "打招呼、问近况", "安慰与陪伴")

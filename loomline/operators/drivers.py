@@ -11,6 +11,7 @@ from loomline.functions.text import clean_answer, hard_rules, labelled_field, re
 from loomline.operators import extraction, fold, prepare, reward, session
 from loomline.operators.render import compact_profile, fill, state_prompt
 from loomline.sources.providers import Provider
+from loomline.sources.tables import cut
 
 #: Prompts are our own wording; {name} places are filled from columns.
 EXTRACT = "已知人物：{names}\n请从第{chapter}章提取摘要、出场人物、事件、人物变化与新人物，只输出 JSON。\n{content}"
@@ -28,7 +29,8 @@ def _ask(rows: DataFrame, provider: Provider, prompt: Column, into: str = "text"
     asked = rows.withColumn("prompt", prompt).withColumn("attempt", F.lit(attempt))
     for name, value in settings.items():
         asked = asked.withColumn(name, F.lit(value))
-    return provider.complete(asked).drop("prompt", "attempt", *settings).withColumnRenamed("text", into)
+    # written at once: two branches that read a reply must not ask twice
+    return cut(provider.complete(asked).drop("prompt", "attempt", *settings).withColumnRenamed("text", into))
 
 
 def _said(reply: Column, path: str, kind: str) -> Column:
@@ -61,7 +63,8 @@ def compress_states(states: DataFrame, provider: Provider, threshold: int = 20)
 
 def patch_facts(states: DataFrame, provider: Provider, chapter: int, least_facts: int = 2, overwrite: bool = False) -> DataFrame:
     """Delta rows with what characters can't know, for those that lack such facts. An unusable reply gives no facts."""
-    asked = _ask(states.select("doc_id", "name", compact_profile().alias("profile")), provider, fill(PATCH, profile=F.col("profile")))
+    fit = states.filter(fold.patch_eligible(least_facts, overwrite))
+    asked = _ask(fit.select("doc_id", "name", compact_profile().alias("profile")), provider, fill(PATCH, profile=F.col("profile")))
     facts = F.coalesce(string_items(recover_json(F.col("text"))), F.array().cast("array<string>"))
     return fold.patch_deltas(states, asked.select("doc_id", "name", facts.alias("facts")), chapter, least_facts, overwrite)
 

@@ -160,10 +160,14 @@ def names_in_order(states: DataFrame) -> DataFrame:
     return states.select("doc_id", "name", "first_seen").orderBy("doc_id", "first_seen")
 
 
+def patch_eligible(least_facts: int = 2, overwrite: bool = False) -> Column:
+    """Whether a state lacks unknown facts (or they may be overwritten) and knows enough to be asked about."""
+    return (F.size("known_facts") >= least_facts) & (F.lit(overwrite) | (F.size("unknown_facts") == 0))
+
+
 def patch_deltas(states: DataFrame, patches: DataFrame, chapter: int, least_facts: int = 2, overwrite: bool = False) -> DataFrame:
     """Patched unknown facts as delta rows of their own chapter, so every view sees them. patches: doc_id, name, facts."""
-    fit = (F.size("known_facts") >= least_facts) & (F.lit(overwrite) | (F.size("unknown_facts") == 0))
-    return states.filter(fit).join(patches, ["doc_id", "name"]).select("doc_id", F.lit(chapter).alias("chapter"), "name", F.slice("facts", 1, 8).alias("unknown_facts_updated"))
+    return states.filter(patch_eligible(least_facts, overwrite)).join(patches, ["doc_id", "name"]).select("doc_id", F.lit(chapter).alias("chapter"), "name", F.slice("facts", 1, 8).alias("unknown_facts_updated"))
 
 
 def summary(states: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.functions.rules import INTENTS
+from loomline.functions.rules import INTENT_SCOPE, INTENTS
 from loomline.functions.text import count_of
 
 
@@ -44,14 +44,21 @@ def intent_plan(chapters: DataFrame, questions: int = 4, intents: tuple[str, ...
     return each.withColumn("quota", intent_quota(F.col("intent"), F.col("chapter"), questions, len(intents)).cast("int")).filter("quota > 0")
 
 
-def quota_pick(candidates: DataFrame, group: str, wanted: int) -> DataFrame:
+def intent_about(intent: Column, scope: tuple[str, ...] = INTENT_SCOPE) -> Column:
+    """What an intent (its number) asks for, in a few words for the prompt."""
+    return F.get(F.array(*[F.lit(s) for s in scope]), intent)
+
+
+def quota_pick(candidates: DataFrame, group: str, wanted: int, top_up: bool = True) -> DataFrame:
     """candidates: group, intent, quota, pos, question, bad. Per intent at most its quota of good, new questions, in
-    order, wanted in all; if short, a second round takes other good ones in order."""
+    order, wanted in all; top_up: if short, a second round takes other good ones in order."""
     good = candidates.filter("not bad")
     first = good.groupBy(group, "question").agg(F.min_by(F.struct("intent", "quota", "pos"), F.struct("intent", "pos")).alias("c")).select(group, "question", "c.*")
     place = F.row_number().over(Window.partitionBy(group, "intent").orderBy("pos"))
     round_ = F.when(F.col("place") <= F.col("quota"), 0).otherwise(1)
     ordered = first.withColumn("place", place).withColumn("round", round_)
+    if not top_up:
+        ordered = ordered.filter("round = 0")
     overall = F.row_number().over(Window.partitionBy(group).orderBy("round", "intent", "pos"))
     return ordered.withColumn("n", overall).filter(F.col("n") <= wanted).select(group, "n", "intent", "question")
 

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.functions.rules import INTENTS
 from loomline.functions.text import bad_answer, bad_question, clean_answer, clean_dialogues, confirmed, recover_json, string_items
 from loomline.operators.dialogue import attributed, candidate_chapters, validated
 from loomline.operators.fold import states_as_of
-from loomline.operators.ranking import changed_only, checkpoints, even_sample, has_material, intent_plan, quota_pick
+from loomline.operators.ranking import capped, changed_only, checkpoints, even_sample, has_material, intent_about, intent_plan, quota_pick
 from loomline.operators.render import fill, state_prompt
-from loomline.operators.reward import accepted_attempt, chosen_rejected
+from loomline.operators.reward import accepted_attempt, chosen_rejected, retry_temperature
 from loomline.sources.providers import Provider
+from loomline.sources.tables import cut
 
 #: Prompts are our own wording; {name} places are filled from columns.
-QUESTIONS = "你在采访角色 {name}（第{cp}章）。角色资料：\n{state}\n请以「{intent}」为题写 {quota} 个问题，只输出 JSON 字符串数组。"
+QUESTIONS = "你在采访角色 {name}（第{cp}章）。角色资料：\n{state}\n请以「{intent}」（{about}）为题写 {quota} 个问题，只输出 JSON 字符串数组。"
+MORE_QUESTIONS = "你在采访角色 {name}（第{cp}章）。角色资料：\n{state}\n请再写 {quota} 个彼此不同的问题，只输出 JSON 字符串数组。"
 FACT_QUESTIONS = "角色 {name} 不知道这件事：{fact}\n请写 {quota} 个会触及它的问题，只输出 JSON 字符串数组。"
 SUGGEST = "请从下文列出 {name} 说过的话，一行一句，最多 {n} 句，没有就写无。\n{text}"
 WHOSE = "下面这句话是不是 {name} 说的？只回答是或否。\n话：{line}\n上下文：{context}"
@@ -73,12 +76,20 @@ def _validated_lines(found: DataFrame, texts: DataFrame, provider: Provider, exa
 
 def _asked(rows: DataFrame, provider: Provider, prompt: Column) -> DataFrame:
     rows = rows if "attempt" in rows.columns else rows.withColumn("attempt", F.lit(0))
-    return provider.complete(rows.withColumn("prompt", prompt))
+    return cut(provider.complete(rows.withColumn("prompt", prompt)))  # written at once: a reply is asked for once
 
 
-def _attempts(rows: DataFrame, provider: Provider, prompt: Column, retries: int) -> DataFrame:
-    tried = rows.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(retries))))
-    return _asked(tried, provider, prompt).withColumn("answer", clean_answer(F.coalesce("text", F.lit(""))))
+def _attempts(rows: DataFrame, provider: Provider, prompt: Column, retries: int, fails: Column, temperature: float) -> DataFrame:
+    """One attempt at a time: only rows on whose answer `fails` holds go on to the next one, warmer each time. Every
+    attempt that was made is a row (attempt, answer, failed)."""
+    done, todo = None, rows
+    for k in range(retries + 1):
+        asked = _asked(todo.withColumns({"attempt": F.lit(k), "temperature": retry_temperature(temperature, F.lit(k))}), provider, prompt)
+        answered = asked.withColumn("answer", clean_answer(F.coalesce("text", F.lit("")))).drop("text", "prompt", "temperature")
+        tried = cut(answered.withColumn("failed", F.coalesce(fails, F.lit(False))))
+        done = tried if done is None else done.unionByName(tried)
+        todo = tried.filter("failed").select(*rows.columns)
+    return done
 
 
 def sft_items(states: DataFrame, examples: DataFrame, provider: Provider, questions: int = 4, retries: int = 2) -> DataFrame:
@@ -86,15 +97,26 @@ def sft_items(states: DataFrame, examples: DataFrame, provider: Provider, questi
     chosen = sft_states(states).join(examples, ["doc_id", "name", "cp"]).withColumn("state", state_prompt())
     plan = intent_plan(chosen.select(F.col("cp").alias("chapter")).distinct(), questions).withColumnRenamed("chapter", "cp").withColumnRenamed("name", "intent_name")
     slots = chosen.join(plan, "cp")
-    asked = _asked(slots, provider, fill(QUESTIONS, name=F.col("name"), cp=F.col("cp"), state=F.col("state"), intent=F.col("intent_name"), quota=F.col("quota")))
-    each = asked.withColumn("q", string_items(recover_json(F.col("text")))).select("doc_id", "name", "cp", "relationships", "intent", "quota", F.posexplode("q").alias("pos", "question"))
-    bad = bad_question(F.col("question"), F.col("name"), F.transform("relationships", lambda r: r["target"]))
+    asked = _asked(slots, provider, fill(QUESTIONS, name=F.col("name"), cp=F.col("cp"), state=F.col("state"), intent=F.col("intent_name"), about=intent_about(F.col("intent")), quota=F.col("quota") + 1))
     key = F.concat_ws("\x1f", F.col("doc_id").cast("string"), "name", F.col("cp").cast("string"))
-    picked = quota_pick(each.withColumn("bad", bad).withColumn("slice", key), "slice", questions)
-    base = chosen.withColumn("slice", key).join(picked, "slice")
+
+    def candidates(replies: DataFrame, intent: Column, quota: Column) -> DataFrame:
+        each = replies.withColumn("slice", key).select("slice", "name", "relationships", intent.alias("intent"), quota.alias("quota"), F.posexplode(string_items(recover_json(F.col("text")))).alias("pos", "question"))
+        return each.withColumn("bad", bad_question(F.col("question"), F.col("name"), F.transform("relationships", lambda r: r["target"])))
+
+    first = cut(quota_pick(candidates(asked, F.col("intent"), F.col("quota")), "slice", questions, top_up=False))
+    # who is short is asked once more, without an intent, for what is lacking
+    have = first.groupBy("slice").agg(F.count(F.lit(1)).alias("have"))
+    short = chosen.withColumn("slice", key).join(have, "slice", "left").withColumn("lack", F.lit(max(1, questions)) - F.coalesce("have", F.lit(0))).filter("lack > 0")
+    again = _asked(short, provider, fill(MORE_QUESTIONS, name=F.col("name"), cp=F.col("cp"), state=F.col("state"), quota=F.col("lack") + 2))
+    extra = candidates(again, F.lit(len(INTENTS)), F.col("lack")).join(first.select("slice", "question"), ["slice", "question"], "left_anti")
+    more = quota_pick(extra, "slice", questions, top_up=False)
+    picked = first.unionByName(more.join(have, "slice", "left").withColumn("n", F.col("n") + F.coalesce("have", F.lit(0))).drop("have"))
+    base = cut(chosen.withColumn("slice", key).join(picked, "slice"))
     keys = ["doc_id", "name", "cp", "n"]
-    tried = _attempts(base.select(*keys, "question", "state", "few_shot", "known_facts", "key_memories"), provider, fill(ANSWER, name=F.col("name"), state=F.col("state"), few_shot=F.col("few_shot"), question=F.col("question")), retries)
-    judged = tried.withColumn("ok", ~bad_answer(F.col("answer"), F.col("known_facts"), F.col("key_memories")))
+    fails = bad_answer(F.col("answer"), F.col("known_facts"), F.col("key_memories"))
+    tried = _attempts(base.select(*keys, "question", "state", "few_shot", "known_facts", "key_memories"), provider, fill(ANSWER, name=F.col("name"), state=F.col("state"), few_shot=F.col("few_shot"), question=F.col("question")), retries, fails, 0.55)
+    judged = tried.withColumn("ok", ~F.col("failed"))
     answers = accepted_attempt(judged, *keys)
     return base.select(*keys, "question", "few_shot").join(answers, keys).filter("answer <> ''").select("doc_id", F.col("name").alias("character"), F.col("cp").alias("chapter"), "question", "answer", "few_shot")
 
@@ -106,10 +128,27 @@ def preference_items(states: DataFrame, examples: DataFrame, provider: Provider,
     asked = _asked(facts, provider, fill(FACT_QUESTIONS, name=F.col("name"), fact=F.col("fact"), quota=F.lit(questions)))
     each = asked.select("doc_id", "name", "cp", "state", "few_shot", "fact_no", "fact", F.posexplode(F.slice(string_items(recover_json(F.col("text"))), 1, questions)).alias("pos", "question"))
     keys = ["doc_id", "name", "cp", "fact_no", "pos"]
-    tried = _attempts(each, provider, fill(ANSWER, name=F.col("name"), state=F.col("state"), few_shot=F.col("few_shot"), question=F.col("question")), attempts - 1)
-    verdicts = _asked(tried.drop("text", "prompt"), provider, fill(LEAKED, fact=F.col("fact"), answer=F.col("answer")))
-    leaked = F.try_variant_get(F.try_parse_json(recover_json(F.col("text"))), "$.leaked", "boolean")
-    spare = _asked(each.withColumn("attempt", F.lit(0)), provider, fill(LEAKY, name=F.col("name"), fact=F.col("fact"), state=F.col("state"), question=F.col("question")))
+    done, todo = None, cut(each)
+    each = todo
+    for k in range(attempts):  # an answer that leaks is kept as the rejected one, and asks for another
+        tried = _attempts(todo, provider, fill(ANSWER, name=F.col("name"), state=F.col("state"), few_shot=F.col("few_shot"), question=F.col("question")), 0, F.lit(False), 0.5)
+        verdicts = _asked(tried.withColumn("attempt", F.lit(k)), provider, fill(LEAKED, fact=F.col("fact"), answer=F.col("answer")))
+        leaked = F.try_variant_get(F.try_parse_json(recover_json(F.col("text"))), "$.leaked", "boolean")
+        judged = cut(verdicts.withColumn("leaked", F.coalesce(leaked, F.lit(False))).drop("text", "prompt"))
+        done = judged if done is None else done.unionByName(judged)
+        todo = judged.filter("leaked").select(*each.columns)
+    # a rejected answer is written on purpose only where the first one was safe already
+    alone = done.filter("attempt = 0 and not leaked").select(*each.columns)
+    spare = _asked(alone, provider, fill(LEAKY, name=F.col("name"), fact=F.col("fact"), state=F.col("state"), question=F.col("question")))
     spare = spare.select(*keys, clean_answer(F.coalesce("text", F.lit(""))).alias("fallback"))
-    pairs = chosen_rejected(verdicts.withColumn("leaked", leaked).join(spare, keys, "left"), *keys, most=attempts)
+    pairs = chosen_rejected(done.join(spare, keys, "left"), *keys, most=attempts)
     return each.join(pairs, keys).select("doc_id", F.col("name").alias("character"), F.col("cp").alias("chapter"), F.col("fact").alias("unknown_fact"), "question", "chosen", "rejected", "few_shot")
+
+
+def within_limits(items: DataFrame, names: DataFrame, most: int | None = None) -> DataFrame:
+    """The first `most` items overall, characters in the order of names (name, first_seen), each taking what those before
+    it left; none and 0 mean all. An index over items alone: it needs no model."""
+    if not most:
+        return items
+    order = names.select(F.col("name").alias("character"), "first_seen")
+    return capped(items.join(order, "character", "left"), ["first_seen", "character", "chapter", "question"], most).drop("first_seen")

@@ -2,39 +2,59 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Seconds that a write must take for tidying to be worth a wait, and that the bridge to the JVM needs to let go.
-LONG_WRITE_S, RELEASE_S = 4, 1.5
+#: Spark's own setting by which the shuffle files behind a finished query go at once.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one if driver and executors are one process;
+    on a cluster executors would each write to a disk of their own, so there it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='loomline-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
+@contextmanager
+def _tidied(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
+
+
+def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs
-    only the tasks it held. The table goes when the application ends. tidy: after a long write the shuffle files behind
-    df go at once, if nothing else holds its plan; else Spark keeps them until the driver happens to collect its
-    garbage."""
-    spark, schema, began = df.sparkSession, df.schema, time.monotonic()
+    only the tasks it held. The shuffle files behind df go with the write; the table goes when the application ends, or
+    earlier by drop()."""
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _tidied(spark):
+        df.write.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    if tidy and time.monotonic() - began > LONG_WRITE_S:
-        del df
-        gc.collect()
-        time.sleep(RELEASE_S)
-        spark._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a table that cut() wrote, once nothing will read it again."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if hadoop.getName().startswith("cut-"):
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
