@@ -80,7 +80,7 @@ def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     schema = f"block long, ids array<{kind}>, lens array<long>, size long, text binary"
     docs = docs.select("doc_id", F.col("text").cast("binary"))
-    return cut(docs.repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(of, schema), tidy=True)
+    return cut(docs.repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(of, schema))
 
 
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, pa.RecordBatch, int]]:

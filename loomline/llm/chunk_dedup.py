@@ -150,7 +150,7 @@ def chunk_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
             duplicate[answers(b, i, "answers").astype(np.int64) - 1] = True
             yield report(block, removed_runs(begin, end, doc, duplicate, min_run), np.bincount(doc, minlength=len(block.starts)))
 
-    known = cut(earlier(blocks.mapInArrow(send, DEALT), _KEY, _later), tidy=True)
+    known = cut(earlier(blocks.mapInArrow(send, DEALT), _KEY, _later))
     return blocks.join(known, "block", "left").mapInArrow(settle, f"doc_id {kind}, {REPORT}, n_chunks long")
 
 

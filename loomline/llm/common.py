@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 
 from loomline.sources.tables import cut, shared_dir
 
-__all__ = ["ascii_lower", "cut", "mix", "partitions", "prefix_hash", "random_table", "shared_dir", "small_batches", "table", "text_views"]
+__all__ = [
+    "ascii_lower", "cut", "few_sent", "grams", "mix", "partitions", "prefix_hash", "random_table", "separated", "shared_dir", "small_batches", "table", "text_views", "without_rows",
+]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of an Arrow batch sent to Python, so that a batch of very long texts stays small.
 BATCH_ROWS = 512
+#: Rows that a side of a join may have to be broadcast; a larger one is shuffled.
+MOST_SENT = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +38,31 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
 
 
+def separated(column: str) -> Column:
+    """A text as bytes that end in a space, null as empty."""
+    return F.concat(F.coalesce(F.col(column), F.lit("")), F.lit(" ")).cast("binary").alias(column)
+
+
+def few_sent(rows: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """rows, to be broadcast if they were counted to be few; else the join shuffles. rows must be cut (they are counted)."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def without_rows(docs: DataFrame, judged: DataFrame, row: Column) -> DataFrame:
+    """docs less the rows that do not stay. judged: doc_id, row (an expression over docs that tells rows of one doc_id
+    apart), stays, one for each row of docs. What goes is looked up, not what stays; of wholly repeated rows that stay
+    one is left."""
+    told = judged.groupBy(F.col("doc_id").alias("__loom_id"), F.col("row").alias("__loom_row")).agg(F.max("stays").alias("__loom_stays"), F.count(F.lit(1)).alias("__loom_times"))
+    told = cut(told.filter("not __loom_stays or __loom_times > 1"))
+    same = F.col("doc_id").eqNullSafe(F.col("__loom_id")) & (row == F.col("__loom_row"))
+    left = docs.join(few_sent(told), same, "left_anti")
+    repeated = told.filter("__loom_stays")
+    if repeated.isEmpty():
+        return left
+    once = docs.withColumn("__loom_key", row).join(repeated, F.col("doc_id").eqNullSafe(F.col("__loom_id")) & (F.col("__loom_key") == F.col("__loom_row")))
+    return left.unionByName(once.dropDuplicates(["__loom_id", "__loom_row"]).select(*docs.columns))
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -93,3 +122,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
     return x
+
+
+_SALTS = random_table(12, 8)
+
+
+def grams(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of size words (at most 8)."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(n, np.uint64)
+    for k in range(size):
+        total += words[k : k + n] * _SALTS[k]
+    return mix(total + np.uint64(size))

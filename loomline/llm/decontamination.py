@@ -27,13 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import mix, prefix_hash, random_table, small_batches, table, text_views
+from loomline.llm.common import grams, mix, prefix_hash, random_table, separated, small_batches, table, text_views
 
 SEED_WORDS, RARE, MIN_SCORE, BLOCK_CHARS = 3, 4, 0.5, 8_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = random_table(11)
-_SALTS = random_table(12, 8)
 _BLOCK = 1 << 20
 _SLOTS, _PIECE = 1024, 1 << 20
 
@@ -53,16 +52,6 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix((sums[ends] - sums[starts]) * inverse[starts]), np.searchsorted(offsets, starts, "right") - 1
 
 
-def grams(words: np.ndarray, size: int) -> np.ndarray:
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for k in range(size):
-        total += words[k : k + n] * _SALTS[k]
-    return mix(total + np.uint64(size))
-
-
 @dataclass
 class Items:
     """A block of benchmark items and where each seed stands in them (sorted by seed)."""
@@ -198,10 +187,6 @@ def align(items: Items, words: np.ndarray, of: np.ndarray, min_score: float = MI
     return pairs[:, 0], pairs[:, 1], best
 
 
-def _separated(column: str):
-    return F.concat(F.coalesce(F.col(column), F.lit("")), F.lit(" ")).cast("binary").alias(column)
-
-
 def item_blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[Items]:
     """The benchmark in blocks of bounded size."""
     ids, texts, size = [], [], 0
@@ -230,7 +215,7 @@ def rare_seeds(docs: DataFrame, items: Items, rare: int = RARE) -> Items:
         row = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(found[row])], ["row", "n"])
 
-    total = docs.select(_separated("text")).mapInArrow(count, "row long, n long").groupBy("row").agg(F.sum("n").alias("n")).toPandas()
+    total = docs.select(separated("text")).mapInArrow(count, "row long, n long").groupBy("row").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(len(items.seeds), np.int64)
     df[total.row] = total.n
     df = df[np.searchsorted(items.seeds, items.seeds, "left")]  # counted at the first row of each value
@@ -260,7 +245,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
                     ids = b.column(0).take(pa.array(start + text[ok], pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids, pa.array([items.ids[i] for i in item[ok]], item_type), pa.array(score[ok])], ["doc_id", "item_id", "score"])
 
-        found = found.unionByName(docs.select("doc_id", _separated("text")).mapInArrow(of, schema))
+        found = found.unionByName(docs.select("doc_id", separated("text")).mapInArrow(of, schema))
     return found
 
 
@@ -269,6 +254,19 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    gone = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__loom_gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__loom_gone_id")), "left_anti")
+    """Documents that hold a benchmark item go; each row by its own text, judged and dropped where it is read."""
+    small_batches(spark)
+    columns = docs.columns
+    for block in item_blocks(table(spark, sf_dir, "benchmark")):
+        items = rare_seeds(docs, block)
+
+        def clean(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                stays = np.ones(b.num_rows, bool)
+                for start, _, data, offsets in text_views(b, "__loom_text", _BLOCK):
+                    text, _, score = align(items, *word_hashes(data, offsets))
+                    stays[start + text[score >= MIN_SCORE]] = False
+                yield b.select(columns).filter(pa.array(stays))
+
+        docs = docs.withColumn("__loom_text", separated("text")).mapInArrow(clean, docs.schema)
+    return docs

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import ascii_lower, cut, table
+from loomline.llm.common import ascii_lower, cut, table, without_rows
 
 HEAVY, TRACKED = 1000, 10000
 
@@ -76,19 +76,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id stays; of wholly repeated rows, one."""
-    kept = (
-        exact_groups(docs)
-        .filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .groupBy(F.col("doc_id").alias("__loom_kept_id"), F.col("digest").alias("__loom_kept_digest"))
-        .agg(F.count(F.lit(1)).alias("__loom_times"))
-    )
-    kept = cut(kept)
-    digest = F.unhex(text_digest(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("__loom_kept_id")) & (digest == F.col("__loom_kept_digest"))
-    once = docs.join(kept.filter("__loom_times = 1"), same, "left_semi")
-    repeated = docs.join(kept.filter("__loom_times > 1"), same).dropDuplicates(["__loom_kept_id", "__loom_kept_digest"]).select(*docs.columns)
-    return once.unionByName(repeated)
+    """Of equal texts, the document with the largest doc_id stays; of wholly repeated rows, one. Rows are told apart by
+    doc_id and text."""
+    judged = exact_groups(docs).select("doc_id", F.col("digest").alias("row"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays"))
+    return without_rows(docs, judged, F.unhex(text_digest(F.col("text"))))
 
 
 ORACLE = f"""

@@ -6,8 +6,9 @@ adds, over the columns, the logistic loss of the margins against a codeword, eac
 classifier was right on that language in training, and takes the codeword of least loss. The score is that codeword's
 share of exp(-loss); where it leads the second by less than AMBIGUOUS, the row is flagged.
 
-Training reads text and lang of at most FIT_ROWS labelled rows (the documented bound; chosen by a hash of doc_id, at
-any size), counts them on the executors and brings one table of trigram classes to the driver, whose size does not
+Labels are counted over all rows that may be learned from. Training reads text and lang of about FIT_ROWS of these (the
+documented bound; chosen by a hash, as many of each language as there are, so that a rare language is learned at any size
+of the corpus), counts them on the executors and brings one table of trigram classes to the driver, whose size does not
 depend on the corpus. Prediction reads whole texts.
 
 Nulls: a null text, or one without a letter, is und with score 0, as is everything if no labelled row exists. Rows
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from loomline.llm.common import cut, small_batches, table, text_views
 
 FIT_ROWS, CLASSES, ALPHA, SHARPNESS, AMBIGUOUS = 6000, 1 << 15, 0.5, 6.0, 0.05
+#: Languages that a model may tell apart: the most frequent ones, if labels name more.
+MOST_LANGS = 2000
 UNDETERMINED = "und"
 _BLOCK = 1 << 20
 
@@ -116,19 +119,26 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     spark = docs.sparkSession
     small_batches(spark)
     learn = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = learn.count()
-    share = min(1.0, fit_rows / n) if n else 0.0
-    picked = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 31) - 1)) < int(share * (1 << 31))) | F.lit(share == 1.0)
-    sample = cut(learn.filter(picked).select("lang", _padded()))
-    langs = sorted(r.lang for r in sample.select("lang").distinct().collect())
+    sizes = {r.lang: r.n for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    langs = sorted(sizes)
+    # as many rows of each language, so that a rare one is learned too; what small ones leave goes to the others
+    quota, left = {}, fit_rows
+    for k, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        quota[lang] = min(n, max(1, left // (len(sizes) - k)))
+        left -= quota[lang]
+    shares = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(min(1.0, quota[lang] / sizes[lang]) * (1 << 31))))]) if langs else F.create_map(F.lit(""), F.lit(0))
+    place = F.xxhash64("doc_id", "lang").bitwiseAND(F.lit((1 << 31) - 1))
+    share = F.try_element_at(shares, F.col("lang"))
+    sample = cut(learn.filter((place < share) | (share == 1 << 31)).select("lang", _padded()))
     code = code_matrix(len(langs))
     if not langs:
         return Model([], code, np.zeros((0, CLASSES), np.float32), np.zeros((0, 0)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((len(langs), CLASSES), np.int64)
+        place = {lang: i for i, lang in enumerate(langs)}
         for b in batches:
-            of = np.array([langs.index(x) for x in b.column(0).to_pylist()])
+            of = np.array([place[x] for x in b.column(0).to_pylist()])
             for at, end, data, offsets in text_views(b, "text", _BLOCK):
                 grams = _trigrams(data)
                 for i in range(end - at):
@@ -147,8 +157,9 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = np.zeros((len(langs), code.shape[1] + 1), np.int64)
+        place = {lang: i for i, lang in enumerate(langs)}
         for b in batches:
-            of = np.array([langs.index(x) for x in b.column(0).to_pylist()])
+            of = np.array([place[x] for x in b.column(0).to_pylist()])
             for at, end, data, offsets in text_views(b, "text", _BLOCK):
                 ok = np.sign(model.margins(data, offsets)) == code[of[at:end]]
                 np.add.at(hits, of[at:end], np.column_stack([ok, np.ones(end - at, np.int64)]).astype(np.int64))
@@ -163,6 +174,22 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return model
 
 
+def _judge(model: Model, batch: pa.RecordBatch, text: str, letter: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the index of its language (past the last: undetermined), its score, its lead over the second."""
+    n = batch.num_rows
+    best, score, lead = np.full(n, len(model.langs)), np.zeros(n), np.zeros(n)
+    if model.langs:
+        for at, end, data, offsets in text_views(batch, text, _BLOCK):
+            best[at:end], score[at:end], lead[at:end] = model.decode(model.margins(data, offsets))
+    mute = ~batch.column(letter).to_numpy(zero_copy_only=False).astype(bool)
+    best[mute], score[mute], lead[mute] = len(model.langs), 0, 1
+    return best, score, lead
+
+
+def _letter() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous for each row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
@@ -171,17 +198,26 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            best, score, lead = np.full(b.num_rows, len(langs) - 1), np.zeros(b.num_rows), np.zeros(b.num_rows)
-            if model.langs:
-                for at, end, data, offsets in text_views(b, "text", _BLOCK):
-                    best[at:end], score[at:end], lead[at:end] = model.decode(model.margins(data, offsets))
-            mute = ~np.asarray(b.column(2))
-            best[mute], score[mute], lead[mute] = len(langs) - 1, 0, 1
+            best, score, lead = _judge(model, b, "text", "letter")
             columns = [b.column(0), pa.array(langs[best], pa.string()), pa.array(score), pa.array(lead < AMBIGUOUS)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "ambiguous"])
 
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")
-    return docs.select("doc_id", _padded(), letter).mapInArrow(of, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+    return docs.select("doc_id", _padded(), _letter().alias("letter")).mapInArrow(of, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+
+
+def determined(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns, that have one language: neither undetermined nor ambiguous. Each row is judged and
+    passed on or dropped where it is read."""
+    small_batches(docs.sparkSession)
+    unknown, columns = len(model.langs), docs.columns
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best, _, lead = _judge(model, b, "__loom_text", "__loom_letter")
+            stays = pa.array((best != unknown) & (lead >= AMBIGUOUS))
+            yield b.select(columns).filter(stays)
+
+    return docs.withColumns({"__loom_text": _padded(), "__loom_letter": _letter()}).mapInArrow(of, docs.schema)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,6 +226,5 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letter), or between two, go."""
-    gone = predict(docs, fit(docs)).filter((F.col("lang_pred") == UNDETERMINED) | F.col("ambiguous")).select(F.col("doc_id").alias("__loom_gone_id"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__loom_gone_id")), "left_anti")
+    """Documents without a language (no letter), or between two, go; each row by its own text."""
+    return determined(docs, fit(docs))

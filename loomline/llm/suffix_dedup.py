@@ -229,8 +229,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             starts[answers(b, i, "answers").astype(np.int64) - 1] = True
             yield report(block, anchors.covered(starts))
 
-    about = cut(earlier(blocks.mapInArrow(send, DEALT), _ANCHOR, judge_anchors).withColumnRenamed("answers", "anchors"), tidy=True)
-    windows = cut(earlier(blocks.join(about, "block", "left").mapInArrow(send_open, DEALT), _OPEN, judge_open), tidy=True)
+    about = cut(earlier(blocks.mapInArrow(send, DEALT), _ANCHOR, judge_anchors).withColumnRenamed("answers", "anchors"))
+    windows = cut(earlier(blocks.join(about, "block", "left").mapInArrow(send_open, DEALT), _OPEN, judge_open))
     return blocks.join(about, "block", "left").join(windows, "block", "left").mapInArrow(settle, f"doc_id {kind}, {REPORT}")
 
 

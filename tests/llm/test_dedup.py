@@ -92,7 +92,7 @@ def test_simhash_matches_brute_force(docs_of):
     assert sorted(str((r.doc_id, np.int64(r.fp).astype(np.uint64), r.component_id)) for r in got) == sorted(str((i, np.uint64(f), c)) for (i, _), f, c in zip(rows, fps, want))
 
 
-@pytest.mark.parametrize("cell", [1, 8, 512])
+@pytest.mark.parametrize("cell", [4, 8, 512])
 def test_links_span_all_near_pairs(spark, cell):
     """Dense clusters through small cells, large cells, and both."""
     rng = random.Random(3)
@@ -121,7 +121,27 @@ def test_simhash_empty_and_stage(spark, docs_of):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
 
 
-def test_similar_texts_are_found_and_others_left(spark, docs_of):
+@pytest.mark.parametrize("stage", [exact_dedup.stage, simhash.stage])
+def test_stages_tell_rows_of_one_doc_id_apart(spark, docs_of, stage):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, long), (1, "quite another text"), (2, long), (2, long), (None, "a third text of its own"), (None, long), (3, "a third text of its own"), (4, "last one here"), (4, "last one here")]
+    kept = sorted((str(r.doc_id), r.text) for r in stage(spark, docs_of(rows), "").collect())
+    best = 2 if stage is exact_dedup.stage else 1
+    assert kept == sorted([(str(best), long), ("1", "quite another text"), ("3", "a third text of its own"), ("4", "last one here")])
+
+
+def links_by_id(docs, sets, side=4096):
+    """The similar sets, as links between doc_ids (texts of one set are linked as well)."""
+    rows = simhash._rows(docs)
+    ids = {}
+    for i, h in sets.items():
+        ids.setdefault(xxhash.xxh3_128_digest(h.tobytes()), []).append(i)
+    links = [(ids[bytes(r.a)][0], ids[bytes(r.b)][0]) for r in simhash.similar_links(rows, simhash.looked_at(rows), side=side).collect()]
+    return links + [(own[0], i) for own in ids.values() for i in own[1:]]
+
+
+@pytest.mark.parametrize("side", [4096, 3])
+def test_similar_texts_are_found_and_others_left(spark, docs_of, side):
     """Copies with a few words changed, at 0.8 and more, against all pairs."""
     rng = random.Random(13)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
@@ -135,9 +155,9 @@ def test_similar_texts_are_found_and_others_left(spark, docs_of):
     rows += [(900, None), (901, ""), (None, rows[0][1])]
     ids = [i for i, t in rows if t and i is not None]
     sets = {i: simhash.shingle_hashes(t.encode()) for i, t in rows if t}
-    got = [(r.a, r.b) for r in simhash.similar_links(docs_of(rows)).collect()]
+    got = links_by_id(docs_of(rows), sets, side)
     assert all(simhash.jaccard(sets[a], sets[b]) >= 0.8 for a, b in got)
-    label = {i: i for i in ids}
+    label = {i: i for i in sets}
 
     def root(i):
         while label[i] != i:
@@ -147,8 +167,8 @@ def test_similar_texts_are_found_and_others_left(spark, docs_of):
     for a, b in got:
         label[root(b)] = root(a)
     near = [(a, b) for a in ids for b in ids if a < b and simhash.jaccard(sets[a], sets[b]) >= 0.8]
-    assert len(near) > 100 and sum(root(a) != root(b) for a, b in near) <= 0.01 * len(near)
-    assert simhash.similar_links(docs_of([]).limit(0)).count() == 0
+    assert len(near) > 100 and all(root(a) == root(b) for a, b in near)
+    assert links_by_id(docs_of([]).limit(0), {}) == []
 
 
 @pytest.mark.parametrize("copies", [30, 2000])
@@ -167,9 +187,14 @@ def test_edited_copies_meet_through_their_original(docs_of, copies):
     rows = list(zip(ids, texts)) + [(100_000 + i, " ".join(word() for _ in range(100))) for i in range(20)]
     sets = {i: simhash.shingle_hashes(t.encode()) for i, t in rows}
     assert all(simhash.jaccard(sets[ids[0]], sets[i]) >= 0.8 for i in ids)
-    links = simhash.similar_links(docs_of(rows))
-    got = {r.node: r.root for r in simhash.components(links).collect()}
-    assert got == {i: min(ids) for i in ids}
+    links = links_by_id(docs_of(rows), sets)
+    groups = {i: {i} for i in sets}
+    for a, b in links:
+        if groups[a] is not groups[b]:
+            both = groups[a] | groups[b]
+            for k in both:
+                groups[k] = both
+    assert groups[ids[0]] == set(ids)
 
 
 def repeated_passages(seed):
