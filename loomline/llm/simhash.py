@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import cut, few_sent, grams, mix, partitions, prefix_hash, random_table, separated, small_batches, table, text_views, without_rows
+from loomline.llm.common import cut, drop, few_sent, grams, mix, partitions, prefix_hash, random_table, separated, small_batches, table, text_views, without_rows
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 CELL = 512
@@ -304,8 +304,8 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def looked_at(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """rows: doc_id, row (what tells rows of one doc_id apart), text. For each row its fingerprint, its set of shingles
-    (digest, size, sketch) and that set's keys."""
+    """rows: doc_id, row (what tells rows of one doc_id apart), text. For each row its fingerprint, its set of shingles (id:
+    a digest; size, sketch, and the sketch folded to SKETCH bits) and that set's keys."""
     small_batches(rows.sparkSession)
     kind = rows.schema["doc_id"].dataType.simpleString()
     common, times = _common(rows)
@@ -324,15 +324,16 @@ def looked_at(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                         b.column(0).slice(at, end - at),
                         b.column(1).slice(at, end - at),
                         pa.array(np.array(fps, np.uint64).view(np.int64)),
-                        pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()),
+                        pa.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], pa.uint64()).view(pa.int64()),
                         pa.array([len(h) for h in sets], pa.int32()),
-                        pa.array([sketch(h) for h in sets], pa.binary()),
+                        pa.array(sketches := [sketch(h) for h in sets], pa.binary()),
+                        pa.array([folded(x).tobytes() for x in sketches], pa.binary()),
                         listed,
                     ],
-                    ["doc_id", "row", "fp", "id", "n", "sketch", "keys"],
+                    ["doc_id", "row", "fp", "id", "n", "sketch", "fold", "keys"],
                 )
 
-    schema = f"doc_id {kind}, row string, fp long, id binary, n int, sketch binary, keys array<long>"
+    schema = f"doc_id {kind}, row string, fp long, id long, n int, sketch binary, fold binary, keys array<long>"
     return cut(rows.select("doc_id", "row", separated("text")).mapInArrow(look, schema))
 
 
@@ -342,28 +343,32 @@ def _could(similarity: float, x: tuple[str, str], y: tuple[str, str]) -> Column:
     return F.least(n - i, m - j) >= (n + m) * (similarity / (1 + similarity)) - 1e-6
 
 
-def _meet(rows: dict[str, np.ndarray], similarity: float) -> set[tuple[bytes, bytes]]:
-    """Pairs of one comparison (side a with side b, of different components) that nothing rules out."""
-    out = set()
+def _meet(rows: dict[str, np.ndarray], similarity: float) -> np.ndarray:
+    """Pairs (smaller id first) of one comparison, side a with side b, of different components, that nothing rules out."""
+    out = [np.zeros((0, 2), np.int64)]
     a, b = np.flatnonzero(rows["a"]), np.flatnonzero(rows["b"])
-    n, left, words, root, ids = rows["n"], rows["n"] - rows["i"], rows["sketch"], rows["root"], rows["id"]
+    n, left, words, root, ids = rows["n"], rows["n"] - rows["i"], rows["fold"], rows["root"], rows["id"]
     for part in np.array_split(a, max(1, len(a) * len(b) >> 20)):
         total = n[part, None] + n[None, b]
         ok = (root[part, None] != root[None, b]) & (np.minimum(left[part, None], left[None, b]) >= total * (similarity / (1 + similarity)) - 1e-6)
         i, j = np.nonzero(ok)
         apart = np.bitwise_count(words[part[i]] ^ words[b[j]]).sum(1, dtype=np.int64)
         keep = apart <= total[i, j] * ((1 - similarity) / (1 + similarity)) + 1e-6
-        for x, y in zip(part[i[keep]].tolist(), b[j[keep]].tolist()):
-            out.add((min(ids[x], ids[y]), max(ids[x], ids[y])))
-    return out
+        pair = np.column_stack([ids[part[i[keep]]], ids[b[j[keep]]]])
+        out.append(np.unique(np.sort(pair, axis=1), axis=0))
+    return np.concatenate(out)
 
 
 def similar_links(rows: DataFrame, looked: DataFrame, similarity: float = SIMILARITY, side: int = SIDE) -> DataFrame:
-    """rows, and what looked_at() made of them. a, b: sets (id) of verified similarity that connect all similar ones."""
-    sets = cut(looked.filter("n > 0").groupBy("id").agg(F.min(F.struct("doc_id", "row")).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
-    keyed = sets.select("id", "n", F.posexplode("keys").alias("i", "key"))
+    """rows, and the sets that looked_at() found in them (cut; a row for each id, at: doc_id and row of a text that has
+    it). a, b: ids of verified similarity that connect all similar ones."""
+    place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long"))
+    keyed = looked.select("id", "n", F.posexplode("keys").alias("i", "key")).select("key", "id", place.alias("place"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    shared = cut(keyed.join(sizes, "key"))
+    n, i = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    shared = cut(keyed.join(sizes, "key").select("key", "id", n.alias("n"), i.alias("i"), "m"))
+    sets = cut(looked.drop("keys"))
+    drop(looked)
 
     def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -395,11 +400,11 @@ def similar_links(rows: DataFrame, looked: DataFrame, similarity: float = SIMILA
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
-        pairs = cut(both(pairs, sets, "sketch", "n").mapInArrow(rough, "a binary, b binary"))
+        pairs = cut(both(pairs, sets, "sketch", "n").mapInArrow(rough, "a long, b long"))
         needed = sets.join(ends(pairs), "id", "left_semi").select("id", F.col("at.doc_id").alias("__id"), F.col("at.row").alias("__row"))
         texts = rows.join(few_sent(cut(needed)), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row")))
-        made = cut(texts.select("id", separated("text")).mapInArrow(whole, "id binary, hashes binary").dropDuplicates(["id"]))
-        return cut(both(pairs, made, "hashes").mapInArrow(exact, "a binary, b binary"))
+        made = cut(texts.select("id", separated("text")).mapInArrow(whole, "id long, hashes binary").dropDuplicates(["id"]))
+        return cut(both(pairs, made, "hashes").mapInArrow(exact, "a long, b long"))
 
     # each set with the middle of its key: the one that shares most, as an original among its edited copies does
     score = shared.groupBy("id").agg(F.sum("m").alias("score"))
@@ -412,7 +417,8 @@ def similar_links(rows: DataFrame, looked: DataFrame, similarity: float = SIMILA
     open_ = (
         placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(top["root"].alias("most"), F.sum("k").alias("all"), (F.sum("k") - top["k"]).alias("out")).filter("out > 0")
     )
-    rest = placed.join(open_, "key").join(sets.select("id", "sketch"), "id")
+    # where a key has two sets, one of them is its middle
+    rest = placed.join(open_.filter(F.col("all") > 2), "key").join(sets.select("id", "fold"), "id")
     slices, parts = [F.ceil(F.col(c) / side).cast("int") for c in ("all", "out")]
     once = (slices == 1) & (parts == 1)
     apart = F.col("root") != F.col("most")
@@ -422,33 +428,39 @@ def similar_links(rows: DataFrame, looked: DataFrame, similarity: float = SIMILA
     as_a = F.when(apart, F.transform(F.sequence(zero, slices - 1), lambda s: cell(own_part, s, yes, no))).otherwise(F.array().cast("array<struct<p:int,s:int,a:boolean,b:boolean>>"))
     as_b = F.transform(F.sequence(zero, parts - 1), lambda p: cell(p, own_slice, no, yes))
     cells = F.when(once, F.array(cell(zero, zero, apart, yes))).otherwise(F.concat(as_a, as_b))
-    met = rest.withColumn("cell", F.explode(cells)).groupBy("key", "cell.p", "cell.s").agg(F.collect_list(F.struct("id", "root", "n", "i", "sketch", F.col("cell.a").alias("a"), F.col("cell.b").alias("b"))).alias("rows"))
+    met = rest.withColumn("cell", F.explode(cells)).groupBy("key", "cell.p", "cell.s").agg(F.collect_list(F.struct("id", "root", "n", "i", "fold", F.col("cell.a").alias("a"), F.col("cell.b").alias("b"))).alias("rows"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: set[tuple[bytes, bytes]] = set()
+            found = [np.zeros((0, 2), np.int64)]
             for group in b.column(0):
                 v = group.values
-                names: dict[bytes, int] = {}
-                columns = {c: np.array(v.field(c).to_pylist()) for c in ("n", "i", "a", "b")}
-                columns["id"] = v.field("id").to_pylist()
-                columns["root"] = np.array([names.setdefault(r, len(names)) for r in v.field("root").to_pylist()])
-                columns["sketch"] = np.array([folded(s) for s in v.field("sketch").to_pylist()]).view(np.uint64)
-                found |= _meet(columns, similarity)
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+                columns = {c: v.field(c).to_numpy(zero_copy_only=False) for c in ("id", "root", "n", "i", "a", "b")}
+                columns["fold"] = np.frombuffer(b"".join(v.field("fold").to_pylist()), np.uint64).reshape(len(v), -1)
+                found.append(_meet(columns, similarity))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in (0, 1)], ["a", "b"])
 
-    return near.unionByName(verified(met.select("rows").mapInArrow(meet, "a binary, b binary")))
+    return near.unionByName(verified(met.select("rows").mapInArrow(meet, "a long, b long")))
+
+
+def sets_of(looked: DataFrame) -> DataFrame:
+    """Of what looked_at() made: a row for each set of shingles."""
+    first = lambda c: F.first(c).alias(c)
+    return cut(looked.filter("n > 0").groupBy("id").agg(F.min(F.struct("doc_id", "row")).alias("at"), *map(first, ("n", "sketch", "fold", "keys"))))
 
 
 def grouped(rows: DataFrame) -> DataFrame:
     """rows: doc_id, row, text. doc_id, row and root (a fingerprint) of what fingerprints or similar texts connect."""
     looked = looked_at(rows)
     near = components(near_links(looked.select("fp").distinct())).withColumnRenamed("node", "fp")
-    of = cut(looked.join(near, "fp", "left").select("doc_id", "row", "id", F.coalesce("root", "fp").alias("root")))
+    of = cut(looked.join(near, "fp", "left").select("doc_id", "row", F.when(F.col("n") > 0, F.col("id")).alias("id"), F.coalesce("root", "fp").alias("root")))
+    sets = sets_of(looked)
+    drop(looked)
     # a set's components are one, and so are those of similar sets: links between components
     first = of.groupBy("id").agg(F.min("root").alias("first"))
     same = of.join(first, "id").filter("root <> first").select(F.col("root").alias("a"), F.col("first").alias("b"))
-    links = similar_links(rows, looked)
+    links = similar_links(rows, sets)
     for s in ("a", "b"):
         links = links.join(first.select(F.col("id").alias(s), F.col("first").alias(f"{s}_root")), s)
     joined = components(same.unionByName(links.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))).distinct())

@@ -135,8 +135,8 @@ def links_by_id(docs, sets, side=4096):
     rows = simhash._rows(docs)
     ids = {}
     for i, h in sets.items():
-        ids.setdefault(xxhash.xxh3_128_digest(h.tobytes()), []).append(i)
-    links = [(ids[bytes(r.a)][0], ids[bytes(r.b)][0]) for r in simhash.similar_links(rows, simhash.looked_at(rows), side=side).collect()]
+        ids.setdefault(int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).astype(np.int64)), []).append(i)
+    links = [(ids[r.a][0], ids[r.b][0]) for r in simhash.similar_links(rows, simhash.sets_of(simhash.looked_at(rows)), side=side).collect()]
     return links + [(own[0], i) for own in ids.values() for i in own[1:]]
 
 
@@ -282,24 +282,23 @@ def brute_chunks(texts, min_run=chunk_dedup.MIN_RUN):
     seen, out = set(), []
     for t in texts:
         b = (t or "").encode()
-        block = block_of(b)
-        begin, end, _ = chunk_dedup.chunk_bounds(block)
-        removed, run = 0, 0
+        begin, end, _ = chunk_dedup.chunk_bounds(block_of(b))
+        spans = []
         for a, z in zip(begin.tolist(), end.tolist()):
-            if b[a:z] in seen:
-                run += z - a
-            else:
-                removed += run if run >= min_run else 0
-                run = 0
+            if b[a:z] not in seen:
                 seen.add(b[a:z])
-        removed += run if run >= min_run else 0
-        out.append((len(b), removed, len(begin)))
+            elif spans and spans[-1][1] == a:
+                spans[-1][1] = z
+            else:
+                spans.append([a, z])
+        whole = lambda a, z: (a == 0 or b[a - 1] == 10) and (z == len(b) or b[z - 1] == 10 or b[z] == 10)  # noqa: B023, E731
+        out.append((len(b), sum(z - a for a, z in spans if z - a >= min_run or whole(a, z)), len(begin)))
     return out
 
 
 @pytest.mark.parametrize("seed", range(2))
 def test_chunk_dedup_matches_brute_force(docs_of, seed):
-    texts = repeated_passages(seed + 20) + [None, "", "x", "long " * 30_000]
+    texts = repeated_passages(seed + 20) + [None, "", "x", "long " * 30_000, "a short text", "a short text", "in a short text of", "twenty letters or so\n", "twenty letters or so\nand then more"]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_chunks) for r in chunk_dedup.chunk_dedup(docs_of(list(enumerate(texts)))).collect()}
     assert [got[i] for i in range(len(texts))] == brute_chunks(texts)
     assert chunk_dedup.chunk_dedup(docs_of([]).limit(0)).count() == 0
