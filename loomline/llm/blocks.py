@@ -131,6 +131,45 @@ def earlier(entries: DataFrame, dtype: np.dtype, judge: Callable[[np.ndarray, np
     return entries.groupBy("bucket").applyInArrow(reduce, "block long, answer binary").groupBy("block").agg(F.collect_list("answer").alias("answers"))
 
 
+DEALT_TEXT = f"{DEALT}, text binary"
+
+
+def dealt_text(number: int, n: int, keys: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """dealt(), with the bytes of each key (one after another in data) in the column text."""
+    bucket = (keys["k"] & np.uint64(0xFFFFFFFF)) * np.uint64(n) >> np.uint64(32)
+    order = np.argsort(bucket, kind="stable")
+    begin = np.cumsum(sizes) - sizes
+    raw = data.tobytes()
+    texts = [raw[a : a + z] for a, z in zip(begin[order].tolist(), sizes[order].tolist())]
+    cuts = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)] if len(order) else [0]
+    spans = list(zip(cuts[:-1], cuts[1:]))
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([int(bucket[order[a]]) for a, _ in spans], pa.int64()),
+            pa.array([number] * len(spans), pa.int64()),
+            pa.array([keys[order[a:z]].tobytes() for a, z in spans], pa.binary()),
+            pa.array([b"".join(texts[a:z]) for a, z in spans], pa.binary()),
+        ],
+        ["bucket", "block", "keys", "text"],
+    )
+
+
+def earlier_text(entries: DataFrame, dtype: np.dtype, judge: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """entries: DEALT_TEXT. judge(keys, block, bytes) returns the blocks and answer words of what a bucket finds. Returns
+    block, answers, as earlier() does."""
+
+    def reduce(t: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(x.as_py(), dtype) for x in t.column("keys")]
+        block = np.repeat(t.column("block").to_numpy(), [len(r) for r in rows])
+        data = np.frombuffer(b"".join(x.as_py() for x in t.column("text")), np.uint8)
+        of, words = judge(np.concatenate(rows), block, data)
+        order = np.argsort(of, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else []
+        return pa.table({"block": pa.array([of[p[0]] for p in parts], pa.int64()), "answer": pa.array([words[p].astype("<u4").tobytes() for p in parts], pa.binary())})
+
+    return entries.groupBy("bucket").applyInArrow(reduce, "block long, answer binary").groupBy("block").agg(F.collect_list("answer").alias("answers"))
+
+
 def answers(b: pa.RecordBatch, i: int, column: str) -> np.ndarray:
     got = b.column(column)[i].as_py()
     return np.frombuffer(b"".join(got), "<u4") if got else np.zeros(0, np.uint32)

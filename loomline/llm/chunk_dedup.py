@@ -4,11 +4,11 @@ A gear hash of 16 bits rolls over each text's bytes (every byte shifts the hash
 chunk ends where its top five bits are zero, after 16 bytes at least and 256 at most; a rest of under 16 bytes joins the
 chunk before it. Boundaries depend on the bytes around them alone, so that an insertion moves the chunks next to it and
 no others. Chunks with equal 128-bit digests are equal; the one that stands first (smaller doc_id, then earlier) is
-original. A duplicate is removed where it belongs to a run of neighbouring duplicates of MIN_RUN bytes or more: shorter
-ones are everyday phrases.
+original. A duplicate is removed where it belongs to a run of neighbouring duplicates of MIN_RUN bytes or more, or one that
+is a whole text or whole lines: shorter ones within a line are everyday phrases.
 
 A null text counts as empty; null doc_ids come first in the order. Rows that share a doc_id are ordered by text and
-each give a row; of wholly repeated rows one counts as the first. A text shorter than MIN_RUN is never cut. Removal goes by
+each give a row; of wholly repeated rows one counts as the first. Removal goes by
 bytes, so cut characters may remain at a seam; the kept text replaces them. An empty table gives no rows. Columns besides
 doc_id and text are not read.
 """
@@ -27,6 +27,7 @@ from loomline.llm.blocks import DEALT, Block, answers, buckets, dealt, earlier,
 from loomline.llm.common import cut, table
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS, MIN_RUN = 16, 256, 5, 100
+NEWLINE = 0x0A
 _GEAR = np.random.default_rng(21).integers(0, 1 << 16, 256, np.uint16)
 _KEY = np.dtype([("k", "<u8"), ("l", "<u8"), ("at", "<u4")])
 
@@ -96,13 +97,20 @@ def _later(keys: np.ndarray, block: np.ndarray) -> np.ndarray:
     return out
 
 
-def removed_runs(begin: np.ndarray, end: np.ndarray, doc: np.ndarray, duplicate: np.ndarray, min_run: int) -> list[tuple[int, int, int]]:
-    """(document, start, end) of the runs of duplicate chunks to remove."""
+def removed_runs(block: Block, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, duplicate: np.ndarray, min_run: int) -> list[tuple[int, int, int]]:
+    """(document, start, end) of the runs of duplicate chunks to remove: long ones, whole texts and whole lines."""
     d = np.concatenate(([False], duplicate, [False]))
     new_doc = np.concatenate(([True], doc[1:] != doc[:-1], [True])) if len(doc) else np.array([True])
     starts = np.flatnonzero(d[1:-1] & (~d[:-2] | new_doc[:-1]))
     stops = np.flatnonzero(d[1:-1] & (~d[2:] | new_doc[1:]))
-    return [(int(doc[a]), int(begin[a]), int(end[z])) for a, z in zip(starts, stops) if end[z] - begin[a] >= min_run]
+    out = []
+    for k, a, z in zip(doc[starts].tolist(), begin[starts].tolist(), end[stops].tolist()):
+        first, last = int(block.starts[k]), int(block.ends[k])
+        opens = a == first or block.data[a - 1] == NEWLINE
+        closes = z == last or block.data[z - 1] == NEWLINE or block.data[z] == NEWLINE
+        if z - a >= min_run or (opens and closes):
+            out.append((k, a, z))
+    return out
 
 
 def report(block: Block, runs: list[tuple[int, int, int]], chunks: np.ndarray | None = None) -> pa.RecordBatch:
@@ -148,7 +156,7 @@ def chunk_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
             begin, end, doc = chunk_bounds(block)
             _, duplicate = chunk_keys(block, begin, end)
             duplicate[answers(b, i, "answers").astype(np.int64) - 1] = True
-            yield report(block, removed_runs(begin, end, doc, duplicate, min_run), np.bincount(doc, minlength=len(block.starts)))
+            yield report(block, removed_runs(block, begin, end, doc, duplicate, min_run), np.bincount(doc, minlength=len(block.starts)))
 
     known = cut(earlier(blocks.mapInArrow(send, DEALT), _KEY, _later))
     return blocks.join(known, "block", "left").mapInArrow(settle, f"doc_id {kind}, {REPORT}, n_chunks long")

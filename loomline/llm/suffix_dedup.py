@@ -1,24 +1,29 @@
 """Suffix-array dedup: longest-previous-factor of every position, cut at WINDOW bytes.
 
 A byte goes if a WINDOW-byte string that covers it also starts earlier: position i starts such a string exactly if its
-longest previous factor is WINDOW or more. In suffix order the suffixes that share their first WINDOW bytes are
-neighbours, and with places ascending among them the previous smaller place of each is the one before it. A distributed
-sort brings only the suffixes together for which this is open:
+longest previous factor is WINDOW or more. In a suffix array (ties by place in the corpus) the longest previous factor of a
+suffix is the longer of its common prefixes with the suffix of the previous smaller and of the next smaller place. Cut at
+WINDOW bytes, suffixes that agree so far stand in a run, in the order of their places, so within a run the previous
+smaller place is the neighbour before, no smaller place follows, and the first of a run has no factor of WINDOW bytes.
+
+A suffix array of the whole corpus would move every byte many times; only suffixes for which the answer is open are sorted:
 
 1. Anchors. Of every WINDOW bytes the 44-byte string of smallest hash is an anchor (winnowing), so equal windows have
    equal anchors at equal distance. An anchor is sent with the hash of all the bytes that windows around it can reach
-   (its context). Answers: the same context stood earlier - all windows around the anchor repeat; else, if it is the
-   anchor's only context, none does; else they stay open (the edges of a repeated passage, its first place included).
-2. Open windows are sorted in suffix order, cut at WINDOW bytes, by fingerprints of their first WINDOW bytes (64 bits
-   and 32 bits of their anchor); the first place of a run of equals is original, the others repeat.
+   (its context, 128 bits with the anchor's). Answers: the same context stood earlier - all windows around the anchor
+   repeat; else, if it is the anchor's only context, none does; else they stay open (the edges of a repeated passage, its
+   first place included).
+2. Suffix order. Of each anchor with open windows the stretch of bytes that these cover goes to the bucket of its hash.
+   A bucket builds the suffix array of its stretches by prefix doubling over the bytes themselves, cut at WINDOW, and reads
+   the previous and next smaller places off it.
 3. The union of repeating windows is taken out of each document.
 
-Both sorts get a key once per block (blocks.py), at most CONTEXTS contexts of an anchor and block (the windows of
-further ones stay open, and step 2 settles them exactly), so no passage, however frequent, makes a large group.
+Both steps get a key once per block (blocks.py), at most CONTEXTS contexts of an anchor and block (the windows of
+further ones stay open, and step 2 settles them exactly), so a passage that a block repeats costs no more than one copy.
 
 A null text counts as empty; null doc_ids come first in the order. Rows that share a doc_id are ordered by text; of
-wholly repeated rows one counts as the first. Removal goes by bytes; the kept text replaces cut characters. An empty
-table gives no rows. Columns besides doc_id and text are not read.
+wholly repeated rows one counts as the first. Removal goes by bytes; the kept text replaces cut characters. Very long
+texts stand in a block of their own. An empty table gives no rows. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm.blocks import DEALT, Block, answers, buckets, dealt, earlier, opened, text_blocks
+from loomline.llm.blocks import DEALT, DEALT_TEXT, Block, answers, buckets, dealt, dealt_text, earlier, earlier_text, opened, text_blocks
 from loomline.llm.chunk_dedup import REPORT, report
 from loomline.llm.common import cut, mix, prefix_hash, random_table, table
 
@@ -37,7 +42,8 @@ WINDOW, GRAM, CONTEXTS = 100, 44, 4
 _BASE = 0xD1342543DE82EF95
 _TABLE = random_table(31)
 _ANCHOR = np.dtype([("k", "<u8"), ("c", "<u8"), ("at", "<u4")])
-_OPEN = np.dtype([("k", "<u8"), ("m", "<u4"), ("at", "<u4")])
+#: An anchor's stretch: the anchor's hash, the first open window's place, how many windows. Their bytes follow the keys.
+_OPEN = np.dtype([("k", "<u8"), ("at", "<u4"), ("n", "<u4")])
 _REPEATS, _OPEN_EDGE = 0, 1
 _FAR = np.uint32(0xFFFFFFFF)
 
@@ -141,17 +147,31 @@ class Anchors:
         np.add.at(marks, np.minimum(len(self.valid), self.at[which] + 1), -1)
         return np.cumsum(marks[:-1], dtype=np.int32) > 0
 
-    def open_keys(self, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A key for every distinct open window, from its first place; places of those that repeat one here."""
+    def open_keys(self, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A key for each anchor that has open windows, the bytes of these one after another, and places of windows of
+        stretches that repeat one of this block whole (which aren't sent)."""
         i = np.flatnonzero(open_)
-        k = mix((self.sums[i + self.window] - self.sums[i]) * self.inverse[i])
-        m = (self.least[i] >> np.uint64(32)).astype(np.uint32)
-        order = np.lexsort((i, m, k))
-        new = np.ones(len(order), bool)
-        new[1:] = (k[order[1:]] != k[order[:-1]]) | (m[order[1:]] != m[order[:-1]])
-        keys = np.zeros(int(new.sum()), _OPEN)
-        keys["k"], keys["m"], keys["at"] = k[order[new]], m[order[new]], i[order[new]]
-        return keys, i[order[~new]]
+        own = self.index[(self.least[i] & np.uint64(_FAR)).astype(np.int64)]
+        new = np.ones(len(i), bool)
+        new[1:] = (own[1:] != own[:-1]) | (i[1:] - i[:-1] > self.reach)
+        first = np.flatnonzero(new)
+        at, last = i[first], i[np.append(first[1:], len(i)) - 1] if len(i) else i
+        keys = np.zeros(len(at), _OPEN)
+        keys["k"], keys["at"], keys["n"] = self.hash[own[first]], at, last - at + 1
+        # of equal stretches the first is sent: equal by place, anchor and bytes
+        raw, seen, stays = self.block.data.tobytes(), set(), np.ones(len(at), bool)
+        parts = []
+        for j, (k, a, n, c) in enumerate(zip(keys["k"].tolist(), at.tolist(), keys["n"].tolist(), self.at[own[first]].tolist())):
+            text = raw[a : a + n - 1 + self.window]
+            if (one := (k, c - a, text)) in seen:
+                stays[j] = False
+            else:
+                seen.add(one)
+                parts.append(text)
+        again = keys[~stays]
+        total = int(again["n"].sum())
+        repeats = np.repeat(again["at"].astype(np.int64), again["n"]) + np.arange(total) - np.repeat(np.cumsum(again["n"]) - again["n"], again["n"]).astype(np.int64)
+        return keys[stays], np.frombuffer(b"".join(parts), np.uint8), repeats
 
     def covered(self, starts: np.ndarray) -> list[tuple[int, int, int]]:
         """(document, start, end) of the maximal runs of bytes that windows with these marks cover."""
@@ -195,15 +215,41 @@ def told(words: np.ndarray) -> np.ndarray:
     return words - np.uint32(1)
 
 
-def judge_open(keys: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Suffix order up to WINDOW bytes, places ascending among equals: a place plus one where one stands before it."""
-    order = np.lexsort((block, keys["m"], keys["k"]))
-    k = keys[order]
-    same = np.zeros(len(k), bool)
-    same[1:] = (k["k"][1:] == k["k"][:-1]) & (k["m"][1:] == k["m"][:-1])
-    out = np.zeros(len(k), np.uint32)
-    out[order[same]] = k["at"][same] + 1
-    return out
+def suffix_ranks(data: np.ndarray, window: int) -> np.ndarray:
+    """Rank of the suffix at every position by its first window bytes (what lies past the end ranks lowest): prefix
+    doubling from eight bytes on, and a last step that overlaps."""
+    n = len(data)
+    have = 8
+    padded = np.concatenate((data, np.zeros(2 * window, np.uint8)))
+    key = np.zeros(n, np.uint64)
+    for k in range(min(have, window)):
+        key = key << np.uint64(8) | padded[k : k + n]
+    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
+    while have < window:
+        step = min(have, window - have)
+        later = np.zeros(n, np.uint64)
+        later[: max(0, n - step)] = rank[step:]
+        rank = np.unique(rank << np.uint64(32) | later, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
+        have += step
+    return rank
+
+
+def judge_open(keys: np.ndarray, block: np.ndarray, data: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(block, place of the window plus one) of every window in these stretches whose longest previous factor is window
+    or more."""
+    sizes = keys["n"].astype(np.int64) + window - 1
+    begin = np.cumsum(sizes) - sizes
+    total = int(keys["n"].sum())
+    inside = np.arange(total) - np.repeat(np.cumsum(keys["n"]) - keys["n"], keys["n"]).astype(np.int64)
+    at = np.repeat(begin, keys["n"]) + inside  # of each window, in data: it lies in its stretch, so no other one's bytes count
+    place = np.repeat(keys["at"].astype(np.int64), keys["n"]) + inside
+    of = np.repeat(block, keys["n"])
+    rank = suffix_ranks(data, window)[at]
+    order = np.lexsort((place, of, rank))  # the suffix array, cut at window bytes
+    previous = np.zeros(len(order), bool)
+    previous[1:] = rank[order[1:]] == rank[order[:-1]]  # the previous smaller place shares so many bytes
+    hit = order[previous]
+    return of[hit], (place[hit] + 1).astype(np.uint32)
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -219,18 +265,20 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def send_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, b, i in opened(batches):
             anchors = Anchors(block, window)
-            yield from dealt(block.number, n, anchors.open_keys(anchors.settle(told(answers(b, i, "anchors")))[1])[0])
+            keys, data, _ = anchors.open_keys(anchors.settle(told(answers(b, i, "anchors")))[1])
+            yield from dealt_text(block.number, n, keys, data, keys["n"].astype(np.int64) + window - 1)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, b, i in opened(batches):
             anchors = Anchors(block, window)
             starts, open_ = anchors.settle(told(answers(b, i, "anchors")))
-            starts[anchors.open_keys(open_)[1]] = True
+            starts[anchors.open_keys(open_)[2]] = True
             starts[answers(b, i, "answers").astype(np.int64) - 1] = True
             yield report(block, anchors.covered(starts))
 
     about = cut(earlier(blocks.mapInArrow(send, DEALT), _ANCHOR, judge_anchors).withColumnRenamed("answers", "anchors"))
-    windows = cut(earlier(blocks.join(about, "block", "left").mapInArrow(send_open, DEALT), _OPEN, judge_open))
+    stretches = blocks.join(about, "block", "left").mapInArrow(send_open, DEALT_TEXT)
+    windows = cut(earlier_text(stretches, _OPEN, lambda keys, block, data: judge_open(keys, block, data, window)))
     return blocks.join(about, "block", "left").join(windows, "block", "left").mapInArrow(settle, f"doc_id {kind}, {REPORT}")
 
 

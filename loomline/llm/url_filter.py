@@ -3,17 +3,19 @@
 A rule (host and path) fits its host and all subdomains where the url's path starts with the rule's; the longest wins.
 Pages that a rule decides are the labels of the tree, which decides the others:
 
-1. Every path is cut into segments; runs of digits generalise to one mark at once, and whatever lies deeper than DEPTH
-   is one segment. Pages collapse to distinct (host, template) with counts of pages, good and bad labels. All that
-   follows is on this table.
+1. Every path is cut into segments; runs of digits generalise to one mark at once. Whatever lies deeper than DEPTH is one
+   segment, whole. Pages collapse to distinct (host, template) with counts of pages, good and bad labels. All that
+   follows is on this table, level by level as far as any path goes.
 2. From the root down, a segment that fewer than SHARE of the pages below the same parent have is variable and becomes a
    wildcard.
 3. From the leaves up, sibling branches (equal but for one segment) whose share of bad labels does not differ from the
    siblings' pooled share by more than Z standard errors merge into a wildcard. A branch without labels stays apart:
-   nothing says that it is like the others.
-4. A template is rejected where its smoothed purity (good + WEIGHT/2) / (good + bad + WEIGHT) is under PURITY.
+   nothing says that it is like one sibling rather than another.
+4. Purity is smoothed towards the branch above: (good + WEIGHT * purity above) / (good + bad + WEIGHT), from one half above
+   the host down to the template itself. So a branch without labels has its parent's purity, and one with few leans on
+   it. A template is rejected where its purity is under PURITY.
 
-A null url, or one without ://, has an empty host and path; no rule fits it and its template has no label, so it is
+A null url, or one without ://, has an empty host and path; no rule fits it, so that its host has no label and it is
 allowed. page_id may be null or repeat. An empty table gives no rows. Columns besides page_id and url are not read.
 """
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from loomline.llm.common import LOWER, UPPER, cut, table
 
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
-DEPTH, SHARE, Z, WEIGHT, PURITY = 4, 0.02, 1.96, 4.0, 0.4
+DEPTH, SHARE, Z, WEIGHT, PURITY = 6, 0.02, 1.96, 4.0, 0.4
 MAX_RULES = 500
 ANY = "*"
 
@@ -57,10 +59,8 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
 
 
 def template_of(path: Column, depth: int = DEPTH) -> Column:
-    """The path's segments, digits generalised, those past depth as one."""
-    parts = F.split(F.regexp_replace(F.regexp_replace(path, r"^/", ""), r"\d+", "#"), "/", -1)
-    deep = F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))
-    return F.when(F.size(parts) > depth, deep).otherwise(parts)
+    """The path's segments, digits generalised, those past depth together as one."""
+    return F.split(F.regexp_replace(F.regexp_replace(path, r"^/", ""), r"\d+", "#"), "/", depth + 1)
 
 
 def _generalised(templates: DataFrame, depth: int) -> DataFrame:
@@ -82,7 +82,7 @@ def _generalised(templates: DataFrame, depth: int) -> DataFrame:
 
 def _merged(templates: DataFrame, depth: int) -> DataFrame:
     """Siblings of like purity become one branch, from the leaves up."""
-    for d in range(depth, -1, -1):
+    for d in range(depth - 1, -1, -1):
         swapped = F.transform("template", lambda x, i: F.when(i == d, F.lit(ANY)).otherwise(x))  # noqa: B023
         branch = templates.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).filter(F.size("template") > d).withColumn("family", swapped)
         family = branch.groupBy("host", "family").agg(F.sum("g").alias("fg"), F.sum("b").alias("fb"), F.sum((F.col("g") + F.col("b") > 0).cast("int")).alias("labelled"))
@@ -94,12 +94,22 @@ def _merged(templates: DataFrame, depth: int) -> DataFrame:
     return templates
 
 
-def template_verdicts(labelled: DataFrame, depth: int = DEPTH) -> DataFrame:
+def purities(final: DataFrame) -> DataFrame:
+    """host, template, purity: good and bad labels of every branch down to the template, folded from the host on."""
+    branches = F.transform(F.sequence(F.lit(0), F.size("template") + 1), lambda k: F.struct(k.alias("k"), F.slice(F.concat("template", F.array(F.lit("$"))), 1, k).alias("branch")))
+    each = final.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).select("*", F.inline(branches))
+    total = each.groupBy("host", "branch").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    levels = each.select("host", "template", "k", "branch").join(total, ["host", "branch"]).groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("k", "g", "b"))).alias("levels"))
+    smoothed = F.aggregate("levels", F.lit(0.5), lambda above, x: (x["g"] + F.lit(WEIGHT) * above) / (x["g"] + x["b"] + F.lit(WEIGHT)))
+    return levels.select("host", "template", smoothed.alias("purity"))
+
+
+def template_verdicts(labelled: DataFrame) -> DataFrame:
     """labelled: host, shape (template as text), template, good, bad per page. Returns host, shape, template, purity, reject."""
     shapes = cut(labelled.groupBy("host", "shape").agg(F.first("template").alias("template"), F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")))
+    depth = shapes.agg(F.max(F.size("template"))).first()[0] or 0
     final = _merged(_generalised(shapes, depth), depth)
-    purity = final.groupBy("host", "template").agg(((F.sum("good") + WEIGHT / 2) / (F.sum("good") + F.sum("bad") + WEIGHT)).alias("purity"))
-    joined = final.join(purity, ["host", "template"])
+    joined = final.join(purities(final), ["host", "template"])
     return joined.select("host", "shape", F.concat(F.lit("/"), F.concat_ws("/", "template")).alias("template"), "purity", (F.col("purity") < PURITY).alias("reject"))
 
 
@@ -137,19 +147,19 @@ def _oracle(rules: dict[str, str] = RULES) -> str:
         "u AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)",
         f"h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)",
         f"r AS (SELECT *, CASE {' '.join(fits)} END AS rule, {parts} AS parts FROM h)",
-        f"s AS (SELECT page_id, host, path, rule, CASE rule {said} END AS said, CASE WHEN len(parts) > {DEPTH} THEN list_concat(parts[1:{DEPTH}], ['**']) ELSE parts END AS tpl FROM r)",
-        "g0 AS (SELECT host, array_to_string(tpl, '/') AS shape, any_value(tpl) AS tpl, count(*) AS n, count(*) FILTER (WHERE said = 'allow') AS good, count(*) FILTER (WHERE said = 'block') AS bad FROM s GROUP BY 1, 2)",
+        f"s AS (SELECT page_id, host, path, rule, CASE rule {said} END AS said, CASE WHEN len(parts) > {DEPTH} THEN list_concat(parts[1:{DEPTH}], [array_to_string(parts[{DEPTH + 1}:], '/')]) ELSE parts END AS tpl FROM r)",
+        "g0 AS MATERIALIZED (SELECT host, array_to_string(tpl, '/') AS shape, any_value(tpl) AS tpl, count(*) AS n, count(*) FILTER (WHERE said = 'allow') AS good, count(*) FILTER (WHERE said = 'block') AS bad FROM s GROUP BY 1, 2)",
     ]
-    for d in range(DEPTH):
+    for d in range(DEPTH + 1):
         parent = f"array_to_string(tpl[1:{d}], '/')" if d else "''"
         ctes += [
             f"k{d} AS (SELECT host, {parent} AS parent, tpl[{d + 1}] AS seg, sum(n) AS n FROM g{d} WHERE len(tpl) > {d} GROUP BY 1, 2, 3)",
             f"w{d} AS (SELECT host, parent, sum(n) AS whole FROM k{d} GROUP BY 1, 2)",
             f"x{d} AS (SELECT k.host, k.parent, k.seg FROM k{d} k JOIN w{d} w ON k.host = w.host AND k.parent = w.parent WHERE k.n < {share} * w.whole)",
-            f"g{d + 1} AS (SELECT g.host, g.shape, CASE WHEN x.seg IS NULL THEN g.tpl ELSE {swap(d).replace('tpl', 'g.tpl')} END AS tpl, g.n, g.good, g.bad "
+            f"g{d + 1} AS MATERIALIZED (SELECT g.host, g.shape, CASE WHEN x.seg IS NULL THEN g.tpl ELSE {swap(d).replace('tpl', 'g.tpl')} END AS tpl, g.n, g.good, g.bad "
             f"FROM g{d} g LEFT JOIN x{d} x ON x.host = g.host AND x.parent = {parent.replace('tpl', 'g.tpl')} AND x.seg = g.tpl[{d + 1}] AND len(g.tpl) > {d})",
         ]
-    last = f"g{DEPTH}"
+    last = f"g{DEPTH + 1}"
     for d in range(DEPTH, -1, -1):
         ctes += [
             f"b{d} AS (SELECT host, tpl, {swap(d)} AS family, sum(good) AS g, sum(bad) AS b FROM {last} WHERE len(tpl) > {d} GROUP BY host, tpl)",
@@ -157,15 +167,20 @@ def _oracle(rules: dict[str, str] = RULES) -> str:
             f"j{d} AS (SELECT b.host, b.tpl, b.family, b.g + b.b AS n, b.b / CAST(nullif(b.g + b.b, 0) AS DOUBLE) AS own, f.fb / CAST(nullif(f.fg + f.fb, 0) AS DOUBLE) AS pool, f.labelled "
             f"FROM b{d} b JOIN f{d} f ON b.host = f.host AND b.family = f.family)",
             f"m{d} AS (SELECT host, tpl, family FROM j{d} WHERE n > 0 AND labelled > 1 AND (own - pool) * (own - pool) * n <= {z} * pool * (1 - pool) + 1e-12)",
-            f"t{d} AS (SELECT g.host, g.shape, coalesce(m.family, g.tpl) AS tpl, g.n, g.good, g.bad FROM {last} g LEFT JOIN m{d} m ON m.host = g.host AND m.tpl = g.tpl)",
+            f"t{d} AS MATERIALIZED (SELECT g.host, g.shape, coalesce(m.family, g.tpl) AS tpl, g.n, g.good, g.bad FROM {last} g LEFT JOIN m{d} m ON m.host = g.host AND m.tpl = g.tpl)",
         ]
         last = f"t{d}"
     ctes += [
-        f"p AS (SELECT host, tpl, (sum(good) + {weight} / 2) / (sum(good) + sum(bad) + {weight}) AS purity FROM {last} GROUP BY host, tpl)",
+        f"e AS (SELECT host, tpl, k, list_concat(tpl, ['$'])[1:k] AS branch, good, bad FROM (SELECT host, tpl, sum(good) AS good, sum(bad) AS bad, unnest(range(len(tpl) + 2)) AS k FROM {last} GROUP BY host, tpl))",
+        "v AS (SELECT host, branch, CAST(sum(good) AS DOUBLE) AS g, CAST(sum(bad) AS DOUBLE) AS b FROM e GROUP BY host, branch)",
+        "w AS MATERIALIZED (SELECT e.host, e.tpl, e.k, v.g, v.b FROM e JOIN v ON v.host = e.host AND v.branch = e.branch)",
+        f"d AS (SELECT host, tpl, k, (g + {weight} * 0.5) / (g + b + {weight}) AS purity FROM w WHERE k = 0 "
+        f"UNION ALL SELECT w.host, w.tpl, w.k, (w.g + {weight} * d.purity) / (w.g + w.b + {weight}) FROM d JOIN w ON w.host = d.host AND w.tpl = d.tpl AND w.k = d.k + 1)",
+        "p AS (SELECT host, tpl, purity FROM d WHERE k = len(tpl) + 1)",
         f"q AS (SELECT t.host, t.shape, '/' || array_to_string(t.tpl, '/') AS template, p.purity FROM {last} t JOIN p ON p.host = t.host AND p.tpl = t.tpl)",
     ]
     return (
-        f"WITH {', '.join(ctes)} SELECT s.page_id, s.host, s.path, s.rule, coalesce(s.said, CASE WHEN q.purity < {purity} THEN 'block' ELSE 'allow' END) AS verdict, q.template, q.purity "
+        f"WITH RECURSIVE {', '.join(ctes)} SELECT s.page_id, s.host, s.path, s.rule, coalesce(s.said, CASE WHEN q.purity < {purity} THEN 'block' ELSE 'allow' END) AS verdict, q.template, q.purity "
         "FROM s JOIN q ON q.host = s.host AND q.shape = array_to_string(s.tpl, '/')"
     )
 

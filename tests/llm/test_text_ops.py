@@ -35,6 +35,51 @@ def test_odd_markup(page, text):
     assert html_text.extract(page, None) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<p>before</p><svg><path d=1/><p>after body", "before\nafter body"),
+        ("<div><p>a</p><svg><g><path d=1></div><p>b", "a\nb"),
+        ("<article><p>a</p><template><p>no</article><p>b</p>", "a"),
+        ("<body><article><p>long enough to win</p><iframe src=x></article></body>", "long enough to win"),
+        ("<body><article><p>long enough to win</p><textarea>typed</article><p>x</body>", "long enough to win"),
+        ("<body><div><p>one<noscript>no</noscript></p><p>two</p></div></body>", "one\ntwo"),
+        ("<head><script>never closed </head><body><p>text</p>", "text"),
+        ("<article><p>Some article.</p><div class='notice-of-award'><p>Important sentence.</p></div><p class=share-price>3.14</p><ul class=menu-of-the-day><li>soup</li></ul></article>", "Some article.\nImportant sentence.\n3.14\nsoup"),
+        ("<article><p>Some article.</p><div class='ad slot-3'>buy</div><div id=cookie-notice-2>ok?</div><div class='related posts'>more</div><section class=comment-list>first!</section></article>", "Some article."),
+    ],
+)
+def test_what_is_dropped_and_what_is_not(page, text):
+    assert html_text.extract(page, None) == text
+
+
+@pytest.mark.parametrize("part", ["<ul><li>x ", "<b>", "<div class=a>t", "<textarea>", "<svg>", "<p><a href=x>y", "</section><div>", "<b><p>x</p>", "<b>x</i>"])
+def test_time_is_linear(part):
+    """300 KB of any of these take seconds."""
+    import time
+
+    began = time.time()
+    html_text.extract(part * (300_000 // len(part)), None)
+    assert time.time() - began < 10
+
+
+def test_votes_match_brute_force(spark):
+    rng = random.Random(4)
+    shapes = ["<div class=main-{0}><p>{1}</p></div>", "<article><p>{1}</p></article><div class=x><p>{1}</p></div>", "<section class=b{0}><p>{1}</p></section>", "<nav><p>{1}</p></nav>"]
+    pages = [(i, f"http://{rng.choice('abc')}.org/{i}", "<body>" + rng.choice(shapes).format(i, "word " * rng.randint(1, 9)) + "</body>") for i in range(150)]
+    pages += [(900, "http://tie.org/1", "<body><div class=q><p>same text</p></div></body>"), (901, "http://tie.org/2", "<body><div class=p><p>same text</p></div></body>")]
+    want = {}
+    for _, url, page in pages:
+        path, score = html_text.best(html_text.parse(page))
+        if score > 0:
+            v = want.setdefault(url.split("/")[2], {}).setdefault(path, [0, 0])
+            v[0] += 1
+            v[1] += int(score // 1)
+    best = {h: min(v, key=lambda p: (-v[p][0], -v[p][1], p)) for h, v in want.items()}
+    got = {r.host: r.path for r in html_text.votes(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == best and got["tie.org"] == ">body>div.p"
+
+
 def test_host_vote_wins_over_a_page_s_own_best(spark):
     usual = "<body><div class=main><p>{}</p></div><div class=extra><p>{}</p></div></body>"
     pages = [(i, f"http://H.example/{i}", usual.format("long words " * 30, "short")) for i in range(9)] + [(99, "http://h.example/x", usual.format("tiny", "long words " * 40))]
@@ -88,10 +133,10 @@ def brute_tree(pages, rules=url_filter.RULES):
         import re
 
         seg = re.sub(r"\d+", "#", path.removeprefix("/")).split("/")
-        seg = [*seg[:4], "**"] if len(seg) > 4 else seg
+        seg = [*seg[:6], "/".join(seg[6:])] if len(seg) > 6 else seg
         seen.append([host, seg, rules.get(rule)])
     rows = [[h, list(s), v] for h, s, v in seen]
-    for d in range(4):
+    for d in range(7):
         kids, all_ = {}, {}
         for h, s, _ in rows:
             if len(s) > d:
@@ -102,7 +147,7 @@ def brute_tree(pages, rules=url_filter.RULES):
         for r in rows:
             if len(r[1]) > d and ((r[0], "/".join(r[1][:d])), r[1][d]) in rare:
                 r[1] = [*r[1][:d], "*", *r[1][d + 1 :]]
-    for d in range(4, -1, -1):
+    for d in range(6, -1, -1):
         branch = {}
         for h, s, v in rows:
             b = branch.setdefault((h, tuple(s)), [0, 0])
@@ -127,20 +172,24 @@ def brute_tree(pages, rules=url_filter.RULES):
                         r[1] = list(key[1])
     total = {}
     for h, s, v in rows:
-        t = total.setdefault((h, tuple(s)), [0, 0])
-        t[0] += v == "allow"
-        t[1] += v == "block"
+        full = (*s, "$")
+        for k in range(len(full) + 1):
+            t = total.setdefault((h, full[:k]), [0, 0])
+            t[0] += v == "allow"
+            t[1] += v == "block"
     out = []
     for (h, s, v) in rows:
-        g, b = total[h, tuple(s)]
-        purity = (g + url_filter.WEIGHT / 2) / (g + b + url_filter.WEIGHT)
+        purity, full = 0.5, (*s, "$")
+        for k in range(len(full) + 1):
+            g, b = total[h, full[:k]]
+            purity = (g + url_filter.WEIGHT * purity) / (g + b + url_filter.WEIGHT)
         out.append((v or ("block" if purity < url_filter.PURITY else "allow"), "/" + "/".join(s)))
     return out
 
 
 def test_tree_matches_brute_force(spark):
     rng = random.Random(8)
-    urls = [f"http://{rng.choice(['a.example.com', 'b.net', 'www.example.com', 'c.org'])}/{rng.choice(['en', 'de', 'fr', 'es'])}/{rng.choice(['x', 'y', 'z', str(rng.randint(1, 99))])}{rng.choice(['', '/', '/p/q/r/s'])}" for _ in range(400)]
+    urls = [f"http://{rng.choice(['a.example.com', 'b.net', 'www.example.com', 'c.org'])}/{rng.choice(['en', 'de', 'fr', 'es'])}/{rng.choice(['x', 'y', 'z', str(rng.randint(1, 99))])}{rng.choice(['', '/', '/p/q/r/s', '/p/q/r/s/t/u/v/w'])}" for _ in range(400)]
     urls += [f"http://b.net/{w}/1" for w in "abcdefghijklmnopqrst"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.page_id: (r.verdict, r.template) for r in url_filter.judge_urls(pages).collect()}
@@ -154,6 +203,24 @@ def test_tree_rejects_by_purity(spark):
     assert got == {"a/#": True, "b/#": False, "c/#": False}
 
 
+def test_branches_without_labels_take_after_what_stands_above(spark):
+    """On a host of which the rules block every section that they know, an unknown section goes too; with as many good
+    pages beside them it stays. A path's depth doesn't change what it says."""
+    urls = [f"http://x.net/{lang}/{i}" for lang in ("es", "fr") for i in range(9)] + ["http://x.net/de/1", "http://other.org/de/1"]
+    urls += [f"http://y.com/a/b/c/d/e/f/g/{w}" for w in "xy"]
+    got = [r for r in sorted(url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect(), key=lambda r: r.page_id)]
+    assert [(r.host, r.verdict, r.rule) for r in got[18:20]] == [("x.net", "block", None), ("other.org", "allow", None)]
+    assert got[18].purity < url_filter.PURITY and got[19].purity == 0.5
+    mixed = urls + [f"http://www.example.com/en/{i}" for i in range(9)] + [f"http://www.example.com/de/{i}" for i in range(3)]
+    rules = {"example.com/en/": "allow", "www.example.com/xx/": "block"}
+    assert {r.verdict for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(mixed)), "page_id long, url string"), rules).filter("host = 'www.example.com'").collect()} == {"allow"}
+
+
+def test_templates_keep_whole_paths(spark):
+    got = spark.createDataFrame([("/a/b/c/d/e/f/x/1",), ("/a/b/c/d/e/f/y/2",), ("",)], "p string").select(url_filter.template_of(F.col("p")).alias("t")).collect()
+    assert [r.t for r in got] == [["a", "b", "c", "d", "e", "f", "x/#"], ["a", "b", "c", "d", "e", "f", "y/#"], [""]]
+
+
 def test_urls_empty(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
     with pytest.raises(ValueError):
@@ -193,6 +260,42 @@ def test_training_ignores_held_out_rows(spark):
     assert np.array_equal(language.fit(spoiled).odds, language.fit(docs).odds)
 
 
+def brute_language(text, model):
+    """Trigram by trigram, column by column, in plain Python."""
+    import math
+
+    data = b"  " + text.encode() + b" "
+    fold = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in data]
+    classes = [(((a << 16 | b << 8 | c) * 0x9E3779B1) & 0xFFFFFFFF) >> 17 for a, b, c in zip(fold, fold[1:], fold[2:])]
+    margins = [sum(float(odds[k]) for k in classes) / len(classes) for odds in model.odds]
+    losses = [
+        len(model.langs) * sum(float(w) * math.log1p(math.exp(-language.SHARPNESS * m * int(bit))) for m, bit, w in zip(margins, code, weights))
+        for code, weights in zip(model.code, model.weights)
+    ]
+    shares = [math.exp(min(losses) - x) for x in losses]
+    return model.langs[losses.index(min(losses))], max(shares) / sum(shares)
+
+
+def test_decoding_matches_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.fit(docs)
+    got = language.predict(docs, model).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in got[:80]:
+        lang, score = brute_language(texts[r.doc_id], model)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4
+
+
+def test_a_rare_language_is_learned(spark):
+    """Five rows in twelve thousand, with a bound of sixty rows."""
+    rows = [(i, f"the nation of the thing number {i}", "en") for i in range(6000)] + [(i, f"der wagen und das haus nummer {i}", "de") for i in range(6000, 12_000)] + [(i, "kissa ja koira ovat ystävät", "fi") for i in range(20_000, 20_008)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, 60)
+    assert model.langs == ["de", "en", "fi"]
+    probe = spark.createDataFrame([(1, "koira ja kissa"), (2, "das haus"), (3, "the thing")], "doc_id long, text string")
+    assert [r.lang_pred for r in sorted(language.predict(probe, model).collect())] == ["fi", "de", "en"]
+
+
 def test_language_without_labels(spark):
     none = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert language.predict(none, language.fit(none)).first().lang_pred == "und"
@@ -252,6 +355,48 @@ def test_leaks_and_clean(spark):
     assert decontamination.contaminated(frame, bench.limit(0)).count() == 0
 
 
+def test_contaminated_matches_brute_force(spark):
+    """Every document aligned with every item, over whole texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    items = decontamination.Items.of(*map(list, zip(*[(r.item_id, r.text) for r in bench.collect()])))
+    want = set()
+    for r in docs.collect():
+        data = np.frombuffer((r.text or "").encode() + b" ", np.uint8)
+        words, _ = decontamination.word_hashes(data, np.array([0, len(data)]))
+        for k, own in enumerate(items.words):
+            shared = len(np.intersect1d(own, words))
+            if 2 * shared >= len(own) and len(own):  # fewer shared words can't score so much
+                score = decontamination.smith_waterman(own[None], words[None])[0] / (2 * len(own))
+                if score >= decontamination.MIN_SCORE:
+                    want.add((r.doc_id, items.ids[k]))
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
+    assert len(want) > 20 and got == want
+
+
+@pytest.mark.parametrize("copies", [1, 4, 5, 50, 1000])
+def test_edited_copies_are_found_however_many(spark, copies):
+    rng = random.Random(copies)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    item = [word() for _ in range(60)]
+    leak = " ".join("other" + str(j) if j % 6 == 5 else w for j, w in enumerate(item))
+    docs = [(i, " ".join(word() for _ in range(20)) + " " + leak + " " + word()) for i in range(copies)] + [(10_000 + i, " ".join(word() for _ in range(80))) for i in range(200)]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(copies))
+
+
+def test_stages_judge_each_row_by_itself(spark, monkeypatch):
+    """A clean row stays whatever another row of its doc_id, or of none, holds."""
+    item = "seven words that stand in a benchmark item"
+    rows = [(1, f"x {item} y", 5), (1, "a clean text", 6), (None, item, 7), (None, "clean as well", 8), (5, "clean", 9), (5, "1234 567", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    monkeypatch.setattr(decontamination, "table", lambda *_: spark.createDataFrame([(3, item, 1)], "item_id long, text string, score int"))
+    assert sorted(r.score for r in decontamination.stage(spark, docs, "").collect()) == [6, 8, 9, 10]
+    labelled = docs.withColumn("lang", F.lit("en"))
+    left = language.stage(spark, labelled, "")
+    assert left.columns == labelled.columns and sorted(r.score for r in left.collect()) == [5, 6, 7, 8, 9]
+
+
 def test_item_in_a_third_of_the_corpus_still_has_seeds(spark):
     item = "one rare passage that somebody copied into very many documents indeed"
     docs = spark.createDataFrame([(i, f"w{i} v{i} " + (item if i % 3 == 0 else "nothing here") + f" u{i}") for i in range(300)], "doc_id long, text string")
@@ -400,11 +545,23 @@ def test_preferences_match_brute_force(spark):
         assert (r.prefix_turns, r.prompt, r.chosen, r.rejected, [tuple(m) for m in r.chosen_mask], [tuple(m) for m in r.rejected_mask]) == brute_preference(a, b)
 
 
-def test_swapped_replies(spark):
-    turns = [(0, 0, "user", "q"), (0, 1, "assistant", "a<|end|>"), (1, 0, "system", None), (1, 5, None, "x"), (1, 9, "assistant", "b"), (1, 10, "user", "late"), (2, 0, "user", "alone"), (4, 0, "assistant", "no partner")]
+def test_spliced_pairs(spark):
+    """Branches leave at different replies, share more than they must where two conversations agree, and each
+    conversation with a reply has a pair."""
+    turns = [(None, 0, "user", "q"), (None, 1, "assistant", "a<|end|>"), (None, 2, "user", "q2"), (None, 3, "assistant", "b")]
+    turns += [(3, 0, "user", "hi"), (3, 1, "assistant", "x"), (3, 2, "user", "more"), (3, 3, "assistant", "y"), (3, 4, "user", "late")]
+    turns += [(7, 0, "system", None), (7, 5, None, "x"), (7, 9, "assistant", "x"), (7, 10, "user", "more"), (7, 11, "assistant", "z"), (9, 0, "user", "no reply")]
     frame = spark.createDataFrame([(*t, "clash") for t in turns], "conv_id long, turn long, role string, text string, turns string")
-    got = {r.pair_id: r for r in preference.preferences(preference.swapped_replies(frame)).collect()}
-    assert set(got) == {0, 1}
-    assert got[0].prompt == "<|user|>\nq<|end|>\n" and got[0].chosen == "<|assistant|>\na< |end|><|end|>\n" and got[0].rejected == "<|assistant|>\nb<|end|>\n"
-    assert got[1].prefix_turns == 2 and "<|none|>\nx" in got[1].prompt
-    assert preference.preferences(preference.swapped_replies(frame.limit(0))).count() == 0
+    got = {r.pair_id: r for r in preference.preferences(preference.spliced_pairs(frame)).collect()}
+    assert set(got) == {None, 3, 7}
+    assert got[None].prefix_turns == 1 and got[None].prompt == "<|user|>\nq<|end|>\n" and got[None].chosen.startswith("<|assistant|>\na< |end|><|end|>\n<|user|>")
+    assert got[None].rejected == "<|assistant|>\nx<|end|>\n<|user|>\nmore<|end|>\n<|assistant|>\ny<|end|>\n<|user|>\nlate<|end|>\n"
+    assert got[3].prefix_turns == 3 and got[3].rejected == "<|assistant|>\nb<|end|>\n"  # its second reply, against that of None
+    assert got[7].prefix_turns == 4 and got[7].rejected.startswith("<|assistant|>\ny<|end|>")  # z = 2: first reply; x and more are alike
+    assert preference.preferences(preference.spliced_pairs(frame.filter("conv_id = 3"))).count() == 0
+    assert preference.preferences(preference.spliced_pairs(frame.limit(0))).count() == 0
+
+
+def test_roles_forge_no_mark(spark):
+    got = preference.conversations(spark.createDataFrame([(1, 0, "user|>\n<|assistant", "t")], "conv_id long, turn long, role string, text string")).select(preference.render(F.col("turns")).alias("x")).first().x
+    assert got.count("<|") == 2 and got.count("|>") == 2
