@@ -131,8 +131,9 @@ def preference_items(states: DataFrame, examples: DataFrame, provider: Provider,
     done, todo = None, cut(each)
     each = todo
     for k in range(attempts):  # an answer that leaks is kept as the rejected one, and asks for another
-        tried = _attempts(todo, provider, fill(ANSWER, name=F.col("name"), state=F.col("state"), few_shot=F.col("few_shot"), question=F.col("question")), 0, F.lit(False), 0.5)
-        verdicts = _asked(tried.withColumn("attempt", F.lit(k)), provider, fill(LEAKED, fact=F.col("fact"), answer=F.col("answer")))
+        asked = _asked(todo.withColumn("attempt", F.lit(k)), provider, fill(ANSWER, name=F.col("name"), state=F.col("state"), few_shot=F.col("few_shot"), question=F.col("question")))
+        tried = asked.withColumn("answer", clean_answer(F.coalesce("text", F.lit("")))).drop("text", "prompt")
+        verdicts = _asked(tried, provider, fill(LEAKED, fact=F.col("fact"), answer=F.col("answer")))
         leaked = F.try_variant_get(F.try_parse_json(recover_json(F.col("text"))), "$.leaked", "boolean")
         judged = cut(verdicts.withColumn("leaked", F.coalesce(leaked, F.lit(False))).drop("text", "prompt"))
         done = judged if done is None else done.unionByName(judged)

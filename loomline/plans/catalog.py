@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.plans import narrative, relational
+from loomline.plans import characters, files, models, narrative, relational, speech
 
-_ALL = relational.QUERIES | narrative.QUERIES
+_ALL = relational.QUERIES | narrative.QUERIES | characters.QUERIES | files.QUERIES | speech.QUERIES | models.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -86,39 +86,27 @@ FROM documents
 
 
 def normalize_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", t.squeeze(F.substring_index("text", "\n", 1)).alias("title"))
+    """Every line as a title."""
+    return segment.lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", t.squeeze(F.col("line")).alias("title"))
 
 
-TITLE = "SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '\\s+', '', 'g') AS title FROM documents"
+TITLE = f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, regexp_replace(line, '\\s+', '', 'g') AS title FROM ({LINES})"
 
 #: Invented dialogue lines.
 LINES_SAID = ["（笑）阿明说：走吧，天黑了。", '"先坐下"', "老人：'茶呢'", "(low) hm: ok", "那边（指着山）有人", "  空的　", "甲乙丙丁戊己庚辛壬：不是名字"]
 
 
 def clean_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("line"))
-    said = spark.createDataFrame([(-1 - i, x) for i, x in enumerate(LINES_SAID)], "id bigint, line string")
-    return own.unionByName(said).select("id", t.clean_line(F.col("line")).alias("line"))
+    """Every line of every document, and the invented ones."""
+    own = segment.lines(table(spark, sf_dir, "documents"))
+    said = spark.createDataFrame([(0, -1 - i, x) for i, x in enumerate(LINES_SAID)], "doc_id bigint, line_no int, line string")
+    return own.unionByName(said).select("doc_id", "line_no", t.clean_line(F.col("line")).alias("line"))
 
 
-_WS = r"[\s　]"
 CLEAN = (
-    "WITH x AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS line FROM documents "
-    + "".join(f"UNION ALL SELECT {-1 - i}, '{x.replace(chr(39), chr(39) * 2)}' " for i, x in enumerate(LINES_SAID))
+    "WITH x AS (" + LINES + " "
+    + "".join(f"UNION ALL SELECT 0, {-1 - i}, '{x.replace(chr(39), chr(39) * 2)}' " for i, x in enumerate(LINES_SAID))
     + r""")
-SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '[（(][^）)]{1,30}[）)]', '', 'g'), '^[\p{L}\p{M}\p{N}_·]{1,8}[说：:][\s　]*', ''),
-  '^["'']+|["'']+$', '', 'g'), '^[\s　]+|[\s　]+$', '', 'g') AS line FROM x
-"""
-)
-
-
-def clean_line_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """clean_line over every line of each document."""
-    return segment.lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", t.clean_line(F.col("line")).alias("line"))
-
-
-CLEAN_WHOLE = (
-    "WITH x AS (" + LINES + r""")
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '[（(][^）)]{1,30}[）)]', '', 'g'), '^[\p{L}\p{M}\p{N}_·]{1,8}[说：:][\s　]*', ''),
   '^["'']+|["'']+$', '', 'g'), '^[\s　]+|[\s　]+$', '', 'g') AS line FROM x
 """
@@ -189,7 +177,7 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "purchase", F.col("event_id").cast("string")).alias("key_event"),
         F.col("event_type").alias("personality_development"),
     ).cast(kind)
-    ord_ = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.lit(1).alias("section"), F.col("event_id").cast("int").alias("place"))
+    ord_ = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.lit(1).alias("section"), F.col("event_id").alias("place"))
     return e.select(F.lit("events").alias("doc_id"), F.dayofmonth("ts").alias("chapter"), ord_.alias("ord"), F.col("user_id").cast("string").alias("name"), F.lit(None).cast(new).alias("new"), change.alias("change"))
 
 
@@ -209,7 +197,7 @@ def _flat(states: DataFrame, *keys: str) -> DataFrame:
 
 def _as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     cps = spark.range(1).select(F.explode(ranking.checkpoints(F.lit(30), 5)).alias("cp"))
-    return fold.fold(fold.as_of(_changes(spark, sf_dir), cps), ["doc_id", "cp", "name"])
+    return fold.fold_as_of(_changes(spark, sf_dir), cps)
 
 
 def state_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,7 +243,7 @@ FIRST = "SELECT user_id AS name, string_agg(event_type, ',' ORDER BY ts, event_i
 
 
 def relationship_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = fold._relations(_changes(spark, sf_dir), ["name"])
+    got = fold.fold(_changes(spark, sf_dir), ["name"])
     return got.select("name", F.explode("relationships").alias("r")).select("name", "r.*")
 
 
@@ -298,23 +286,7 @@ SELECT slice, CAST(n AS INTEGER) AS n, CAST(intent AS INTEGER) AS intent, questi
 
 
 def contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines stand in for chapters: those up to the tenth that contain the text's first word, or a name found nowhere."""
-    docs = table(spark, sf_dir, "documents")
-    chapters = segment.lines(docs).select("doc_id", (F.col("line_no") + 1).alias("index"), F.col("line").alias("content"))
-    first = F.lower(F.regexp_extract("text", r"^[A-Za-z]+", 0))
-    names = docs.select("doc_id", F.explode(F.array(first, F.lit("zzzz"))).alias("name"), F.lit(10).alias("cp")).filter("name <> ''")
-    return dialogue.candidate_chapters(names, chapters).select("doc_id", "name", F.array_join(F.transform("indexes", lambda i: i.cast("string")), ",").alias("indexes"))
-
-
-CONTAINS = f"""
-WITH l AS ({LINES}), n AS (SELECT doc_id, lower(regexp_extract(text, '^[A-Za-z]+')) AS name FROM documents UNION ALL SELECT doc_id, 'zzzz' FROM documents),
-u AS (SELECT n.doc_id, n.name, line_no + 1 AS i, contains(line, name) AS has FROM n JOIN l ON l.doc_id = n.doc_id WHERE name <> '' AND line_no < 10)
-SELECT doc_id, name, coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (WHERE has), string_agg(CAST(i AS VARCHAR), ',' ORDER BY i)) AS indexes FROM u GROUP BY doc_id, name
-"""
-
-
-def contains_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """contains_join up to the last line of each document."""
+    """Lines stand in for chapters: those that contain the text's first word, or a name found nowhere."""
     docs = table(spark, sf_dir, "documents")
     chapters = segment.lines(docs).select("doc_id", (F.col("line_no") + 1).alias("index"), F.col("line").alias("content"))
     first = F.lower(F.regexp_extract("text", r"^[A-Za-z]+", 0))
@@ -322,7 +294,7 @@ def contains_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.candidate_chapters(names, chapters).select("doc_id", "name", F.array_join(F.transform("indexes", lambda i: i.cast("string")), ",").alias("indexes"))
 
 
-CONTAINS_WHOLE = f"""
+CONTAINS = f"""
 WITH l AS ({LINES}), n AS (SELECT doc_id, lower(regexp_extract(text, '^[A-Za-z]+')) AS name FROM documents UNION ALL SELECT doc_id, 'zzzz' FROM documents),
 u AS (SELECT n.doc_id, n.name, line_no + 1 AS i, contains(line, name) AS has FROM n JOIN l ON l.doc_id = n.doc_id WHERE name <> '')
 SELECT doc_id, name, coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (WHERE has), string_agg(CAST(i AS VARCHAR), ',' ORDER BY i)) AS indexes FROM u GROUP BY doc_id, name
@@ -330,18 +302,16 @@ SELECT doc_id, name, coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FIL
 
 
 def section_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections and bullets of instructions put together from each text's first lines."""
-    line = lambda i: F.substring(F.coalesce(F.get(F.split("text", "\n", -1), F.lit(i)), F.lit("x")), 1, 30)
-    made = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("## h\n### 已知信息（x）\n- a"), line(0), F.lit("\n* b"), line(1), F.lit("\n\n### 未知信息\n- c"), line(2), F.lit("\n\n### 关键记忆\n")).alias("i"))
+    """Sections and bullets of instructions put together from whole texts."""
+    items = lambda mark: F.concat(F.lit(f"- {mark}"), F.regexp_replace("text", "\n", f"\n* {mark}"))
+    made = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("## h\n### 已知信息（x）\n"), items("a"), F.lit("\n\n### 未知信息\n"), items("c"), F.lit("\n\n### 关键记忆\n")).alias("i"))
     return made.select("doc_id", reward.known_text(F.col("i")).alias("known"), F.array_join(t.bullets(reward.known_text(F.col("i"))), "|").alias("known_items"), F.array_join(reward.unknown_facts(F.col("i")), "|").alias("unknown_items"))
 
 
-_LINE = "substr(coalesce(string_split(text, chr(10))[%d], 'x'), 1, 30)"
+_ITEMS = f"(SELECT string_agg(item, '|' ORDER BY line_no) FROM (SELECT l.line_no, {STRIP % "('%s' || l.line)"} AS item FROM l WHERE l.doc_id = x.doc_id) WHERE length(item) >= %d)"
 SECTION = f"""
-WITH x AS (SELECT doc_id, 'a' || {_LINE % 1} AS a, 'b' || {_LINE % 2} AS b, 'c' || {_LINE % 3} AS c FROM documents)
-SELECT doc_id, {STRIP % "'- ' || a || chr(10) || '* ' || b"} AS known, {STRIP % 'a'} || '|' || {STRIP % 'b'} AS known_items,
-       CASE WHEN length({STRIP % 'c'}) >= 4 THEN {STRIP % 'c'} ELSE '' END AS unknown_items
-FROM x
+WITH l AS ({LINES}), x AS (SELECT doc_id, text FROM documents)
+SELECT doc_id, {STRIP % "('- a' || replace(text, chr(10), chr(10) || '* a'))"} AS known, coalesce({_ITEMS % ('a', 1)}, '') AS known_items, coalesce({_ITEMS % ('c', 4)}, '') AS unknown_items FROM x
 """
 
 
@@ -369,47 +339,6 @@ SELECT user_id, CAST(day(ts) AS INTEGER) AS day, CAST(count(*) AS INTEGER) AS ch
 FROM events GROUP BY 1, 2
 """
 
-#: Invented passages, with the lines that are 阿明's, and those that could be anyone's.
-PASSAGES = [
-    ("阿明说道：“我们先回家吧。”老李点头。", "我们先回家吧。", ""),
-    ("“你从哪里来呢？”老李问道。夜里很静。", "", ""),
-    ("“今天的风真大啊。”没有人回应。", "", "今天的风真大啊。"),
-    ("“走这边的小路。”阿明低声说。“慢一点再慢一点。”", "走这边的小路。|慢一点再慢一点。", ""),
-    ("这里没有引号。", "", ""),
-]
-
-
-def speaker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, "阿明", p) for i, (p, _, _) in enumerate(PASSAGES)], "id int, name string, text string")
-    got = dialogue.attributed(rows, 8)
-    return got.select("id", F.array_join("strict", "|").alias("strict"), F.array_join("ambiguous", "|").alias("ambiguous"))
-
-
-SPEAKER = " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS id, '{a}' AS strict, '{b}' AS ambiguous" for i, (_, a, b) in enumerate(PASSAGES))
-
-#: Invented questions to 阿明 (who knows 老李), and whether each is unfit.
-ASKED = [("你昨天去了哪里？", False), ("老李，你好吗今天", True), ("老李会不会回来呢？", True), ("阿明，老李会来吗？", False), ("王教授，明天去哪里？", True), ("为什么？", True), ("（笑）你去哪里了呢？", True), ("说说那座桥……", True), ("那条河后来怎么样了？", False)]
-
-
-def question_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(ASKED)], "id int, q string")
-    return rows.select("id", t.bad_question(F.col("q"), F.lit("阿明"), F.array(F.lit("老李"))).alias("bad"))
-
-
-QUESTION = " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS id, {str(b).lower()} AS bad" for i, (_, b) in enumerate(ASKED))
-
-#: Invented answers with known facts, and whether each is to be generated again.
-ANSWERED = [("我在河边。", "", False), ("不是风而是雨。", "", True), ("从七岁那年开始我就在这里。", "", True), ("从七岁那年开始我就在这里。", "童年在河边", False), ("你说呢？", "", True), ("走", "", True), ("等等...", "", True), ("他走了，难道你不知道？", "", True)]
-
-
-def answer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, a, k) for i, (a, k, _) in enumerate(ANSWERED)], "id int, a string, k string")
-    return rows.select("id", t.bad_answer(F.col("a"), F.array("k"), F.array().cast("array<string>")).alias("bad"))
-
-
-ANSWER = " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS id, {str(b).lower()} AS bad" for i, (_, _, b) in enumerate(ANSWERED))
-
-
 def reasoning_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<think> plan </think>A："), "text")).otherwise(F.col("text"))
     got = t.response_or_raw(raw)
@@ -432,7 +361,6 @@ QUERIES = {
     "truncate_middle": (truncate_middle, TRUNCATE),
     "normalize_title": (normalize_title, TITLE),
     "clean_line": (clean_line, CLEAN),
-    "clean_line_whole": (clean_line_whole, CLEAN_WHOLE),
     "ordered_lines_distinct": (ordered_lines_distinct, DISTINCT),
     "first_clause": (first_clause, CLAUSE),
     "substring_counts": (substring_counts, COUNTS),
@@ -445,13 +373,9 @@ QUERIES = {
     "state_prompts": (prompts, PROMPT),
     "quota_pick": (quota_pick, QUOTA),
     "contains_join": (contains_join, CONTAINS),
-    "contains_join_whole": (contains_join_whole, CONTAINS_WHOLE),
     "section_extract": (section_extract, SECTION),
     "json_defaults": (json_defaults, JSON),
     "extraction_stats": (extraction_stats, STATS),
-    "speaker_lines": (speaker_lines, SPEAKER),
-    "question_rules": (question_rules, QUESTION),
-    "answer_rules": (answer_rules, ANSWER),
     "reasoning_split": (reasoning_split, REASONING),
     "complete_rows": (complete_rows, COMPLETE),
 }

@@ -86,7 +86,7 @@ def preference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     tries = labelled(spark, sf_dir).select(
         F.floor(F.col("doc_id") / 4).alias("question"),
         (F.col("doc_id") % 4).alias("attempt"),
-        F.substring("text", 1, 60).alias("answer"),
+        F.col("text").alias("answer"),
         F.when(F.col("quality") == 1, F.col("toxic") == 1).alias("leaked"),
         F.col("source").alias("fallback"),
     )
@@ -95,7 +95,7 @@ def preference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PREFERENCE = """
 WITH t AS (
-  SELECT CAST(floor(doc_id / 4) AS BIGINT) AS question, doc_id % 4 AS attempt, substr(text, 1, 60) AS answer,
+  SELECT CAST(floor(doc_id / 4) AS BIGINT) AS question, doc_id % 4 AS attempt, text AS answer,
          coalesce(CASE WHEN quality = 1 THEN toxic = 1 END, false) AS leaked, source AS fallback
   FROM documents JOIN labels USING (doc_id)
 ), g AS (
@@ -108,20 +108,6 @@ WHERE safe_at IS NOT NULL AND chosen <> '' AND CASE WHEN leak_at < safe_at THEN
 """
 
 
-def preference_rows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """preference_rows with answers uncut."""
-    tries = labelled(spark, sf_dir).select(
-        F.floor(F.col("doc_id") / 4).alias("question"),
-        (F.col("doc_id") % 4).alias("attempt"),
-        F.col("text").alias("answer"),
-        F.when(F.col("quality") == 1, F.col("toxic") == 1).alias("leaked"),
-        F.col("source").alias("fallback"),
-    )
-    return prepare.complete(reward.chosen_rejected(tries, "question", most=4), "chosen", "rejected")
-
-
-PREFERENCE_WHOLE = PREFERENCE.replace("substr(text, 1, 60)", "text")
-
 #: Driver texts hold none of the Chinese phrases, so these rules carry patterns that they do hold.
 RULES = replace(ZH, disclaimer="License", third_person="the (of|and)", narration_over=3000, numbered_bold=r"(?md)^[A-Z][a-z]{14,}", first_person="|")
 
@@ -130,7 +116,7 @@ def reward_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled(spark, sf_dir).select(
         "doc_id",
         F.col("text").alias("response"),
-        F.array(F.substring("text", 1, 10), F.lit("ab")).alias("facts"),
+        F.array(F.col("text"), F.lit("ab")).alias("facts"),
         F.array(F.col("toxic") * 0.9, F.lit(0.95)).alias("entailment"),
         ((1 - F.col("quality")) * 0.8).alias("contradiction"),
     )
@@ -144,7 +130,7 @@ SELECT doc_id, CASE
   WHEN contains(text, 'License') THEN 0.0
   WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 3000 AND NOT contains(text, '|') AND regexp_matches(text, 'the (of|and)') THEN 0.0
   WHEN regexp_matches(chr(10) || text, '\\n[A-Z][a-z]{14,}') THEN 0.0
-  WHEN toxic = 1 AND length(substr(text, 1, 10)) >= 4 THEN 0.2
+  WHEN toxic = 1 AND length(text) >= 4 THEN 0.2
   WHEN quality = 0 THEN 0.5 ELSE 1.0 END AS reward
 FROM documents JOIN labels USING (doc_id)
 """
@@ -321,25 +307,16 @@ FROM prepared WHERE instruction <> '' AND input <> ''
 
 
 def accepted_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tries = labelled(spark, sf_dir).select(F.floor(F.col("doc_id") / 3).alias("question"), (F.col("doc_id") % 3).alias("attempt"), F.substring("text", 1, 40).alias("answer"), (F.col("toxic") == 1).alias("ok"))
+    tries = labelled(spark, sf_dir).select(F.floor(F.col("doc_id") / 3).alias("question"), (F.col("doc_id") % 3).alias("attempt"), F.col("text").alias("answer"), (F.col("toxic") == 1).alias("ok"))
     return reward.accepted_attempt(tries, "question")
 
 
 ACCEPTED = """
-SELECT CAST(floor(doc_id / 3) AS BIGINT) AS question, coalesce(arg_min(substr(text, 1, 40), doc_id % 3) FILTER (WHERE toxic = 1), arg_max(substr(text, 1, 40), doc_id % 3)) AS answer
+SELECT CAST(floor(doc_id / 3) AS BIGINT) AS question, coalesce(arg_min(text, doc_id % 3) FILTER (WHERE toxic = 1), arg_max(text, doc_id % 3)) AS answer
 FROM documents JOIN labels USING (doc_id) GROUP BY 1
 """
 
 
-def accepted_attempt_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """accepted_attempt with answers uncut."""
-    tries = labelled(spark, sf_dir).select(F.floor(F.col("doc_id") / 3).alias("question"), (F.col("doc_id") % 3).alias("attempt"), F.col("text").alias("answer"), (F.col("toxic") == 1).alias("ok"))
-    return reward.accepted_attempt(tries, "question")
-
-
-ACCEPTED_WHOLE = ACCEPTED.replace("substr(text, 1, 40)", "text")
-
-
 def shuffled_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [md5_order("doc_id").alias("h"), F.col("doc_id")]
     return prepare.ranked(table(spark, sf_dir, "labels").select("doc_id"), order).select("doc_id", "rank")
@@ -354,7 +331,6 @@ QUERIES = {
     "grpo_projection": (grpo_projection, GRPO),
     "sampled_pairs": (sampled_pairs, SAMPLED),
     "preference_rows": (preference_rows, PREFERENCE),
-    "preference_rows_whole": (preference_rows_whole, PREFERENCE_WHOLE),
     "reward_ladder": (reward_ladder, LADDER),
     "hard_rule_flags": (hard_rule_flags, FLAGS),
     "boundary_rate": (boundary_rate, BOUNDARY),
@@ -369,6 +345,5 @@ QUERIES = {
     "even_sample": (even_sample, EVEN),
     "chat_prompts": (chat_prompts, PROMPTS),
     "accepted_attempt": (accepted_attempt, ACCEPTED),
-    "accepted_attempt_whole": (accepted_attempt_whole, ACCEPTED_WHOLE),
     "shuffled_order": (shuffled_order, SHUFFLED),
 }
