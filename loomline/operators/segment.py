@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions.rules import CHAPTER_MARKERS
@@ -18,30 +18,32 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def marker_lines(docs: DataFrame, marker: Column | None = None, patterns: Sequence[str] = CHAPTER_MARKERS) -> DataFrame:
-    """doc_id, line_no, line, is_marker. marker: a predicate on the column line instead of the patterns."""
-    return lines(docs).withColumn("is_marker", is_marker(F.col("line"), patterns) if marker is None else marker)
-
-
-def split_by_markers(marked: DataFrame) -> DataFrame:
-    """Chapters between marker lines. Of markers with one title (but for white space) the last counts, so that a table
-    of contents gives way to the body; sections without content go before chapters are numbered."""
-    title = strip(F.col("line"))
-    last = F.row_number().over(Window.partitionBy("doc_id", "is_marker", "key").orderBy(F.desc("line_no")))
-    kept = marked.withColumn("key", F.when(F.col("is_marker"), squeeze(title))).withColumn("kept", F.col("is_marker") & (last == 1))
-    running = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    section = kept.withColumn("section", F.sum(F.col("kept").cast("int")).over(running)).filter("section > 0")
-    body = (
-        section.groupBy("doc_id", "section")
-        .agg(
-            F.max(F.when(F.col("kept"), title)).alias("title"),
-            F.sort_array(F.collect_list(F.when(~F.col("kept"), F.struct("line_no", "line")))).alias("body"),
-        )
-        .select("doc_id", "section", "title", strip(F.array_join(F.transform("body", lambda x: x["line"]), "\n")).alias("content"))
-        .filter("content <> ''")
-    )
-    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("section"))
-    return body.select("doc_id", index.alias("index"), "title", "content", F.length("content").alias("char_count"))
+Marker = Callable[[Column], Column]
+
+
+def marker_of(patterns: Sequence[str] = CHAPTER_MARKERS) -> Marker:
+    """Whether a line is a chapter's title by the patterns."""
+    return lambda line: is_marker(line, patterns)
+
+
+def split_by_markers(docs: DataFrame, marker: Marker | None = None) -> DataFrame:
+    """Chapters of docs (doc_id, text) between marker lines. Of markers with one title (but for white space) the last
+    counts, so that a table of contents gives way to the body; sections without content go before chapters are numbered.
+    All of it is within the row: no text is shuffled."""
+    hit, size = marker or marker_of(), F.size("lines")
+    titled = F.transform("lines", lambda line, i: F.struct(i.alias("at"), strip(line).alias("title"), squeeze(line).alias("key"), hit(line).alias("hit")))
+    marks = docs.select("doc_id", F.split("text", "\n", -1).alias("lines")).withColumn("marks", F.filter(titled, lambda m: m["hit"]))
+    # the last of a key: its place among the marks from behind is the first
+    keys = F.transform("marks", lambda m: m["key"])
+    last = F.transform_values(F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("k"), k.alias("v")))), lambda k, _: F.size("marks") - F.array_position(F.reverse(keys), k))
+    kept = marks.withColumn("last", last).withColumn("starts", F.filter("marks", lambda m, i: F.element_at("last", m["key"]) == i))
+
+    def chapter(m: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("starts", i + 1)["at"], size)
+        return F.struct(m["title"].alias("title"), strip(F.array_join(F.slice("lines", m["at"] + 2, end - m["at"] - 1), "\n")).alias("content"))
+
+    found = kept.select("doc_id", F.posexplode(F.filter(F.transform("starts", chapter), lambda c: c["content"] != "")).alias("i", "c"))
+    return found.select("doc_id", (F.col("i") + 1).alias("index"), F.col("c.title").alias("title"), F.col("c.content").alias("content"), F.length("c.content").alias("char_count"))
 
 
 def paragraphs(text: Column, separator: str = r"(?U)\n\s*\n") -> Column:
@@ -84,13 +86,11 @@ def split_by_length(docs: DataFrame, limit: int = 6000, separator: str = r"(?U)\
     )
 
 
-def split_chapters(docs: DataFrame, limit: int = 6000, marker: Column | None = None, patterns: Sequence[str] = CHAPTER_MARKERS, least: int = 3) -> DataFrame:
+def split_chapters(docs: DataFrame, limit: int = 6000, marker: Marker | None = None, least: int = 3) -> DataFrame:
     """Chapters of docs (doc_id, text): by markers where a text has `least` of them, else by length."""
-    hit = is_marker(F.col("line"), patterns) if marker is None else marker
-    count = lines(docs).groupBy("doc_id").agg(F.count_if(hit).alias("markers"))
-    routed = docs.select("doc_id", "text").join(count, "doc_id")
-    by_marker = split_by_markers(marker_lines(routed.filter(F.col("markers") >= least), marker, patterns))
-    return by_marker.unionByName(split_by_length(routed.filter(F.col("markers") < least), limit))
+    markers = F.size(F.filter(F.split("text", "\n", -1), marker or marker_of()))
+    by_marker = split_by_markers(docs.filter(markers >= least), marker)
+    return by_marker.unionByName(split_by_length(docs.filter(F.coalesce(markers, F.lit(0)) < least), limit))
 
 
 def first_chapters(chapters: DataFrame, n: int | None) -> DataFrame:

@@ -16,14 +16,14 @@ STRIP = r"regexp_replace(%s, '^\s+|\s+$', '', 'g')"
 LINES = "SELECT doc_id, i - 1 AS line_no, parts[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)"
 
 
-def _marker():
-    return F.length(t.strip(F.col("line"))).between(1, 40)
+def _marker(line):
+    return F.length(t.strip(line)).between(1, 40)
 
 
 def segment_by_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short lines stand in for chapter titles."""
     docs = table(spark, sf_dir, "documents")
-    return segment.split_by_markers(segment.marker_lines(docs, _marker())).select("doc_id", "index", "title", "content", "char_count")
+    return segment.split_by_markers(docs, _marker).select("doc_id", "index", "title", "content", "char_count")
 
 
 BY_MARKER = f"""
@@ -64,7 +64,7 @@ FROM r GROUP BY doc_id, chunk
 def split_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which way each text goes, and how many chapters come of it."""
     docs = table(spark, sf_dir, "documents")
-    return segment.split_chapters(docs, 6000, _marker()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chapters"), F.sum("char_count").alias("chars"))
+    return segment.split_chapters(docs, 6000, _marker).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chapters"), F.sum("char_count").alias("chars"))
 
 
 ROUTED = f"""

@@ -303,7 +303,7 @@ UNION ALL SELECT doc_id, 1, '段落 1', alone, length(alone) FROM t WHERE doc_id
 def first_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two chapters of each document: the limit is the feature."""
     docs = table(spark, sf_dir, "documents")
-    return segment.first_chapters(segment.split_by_markers(segment.marker_lines(docs, _marker())), 2).select("doc_id", "index", "title", "char_count")
+    return segment.first_chapters(segment.split_by_markers(docs, _marker), 2).select("doc_id", "index", "title", "char_count")
 
 
 FIRST_TWO = f"SELECT doc_id, index, title, char_count FROM ({BY_MARKER}) WHERE index <= 2"
