@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.sources.tables import cut, drop, shared_dir
 
 __all__ = [
-    "ascii_lower", "cut", "drop", "few_sent", "grams", "mix", "partitions", "prefix_hash", "random_table", "separated", "shared_dir", "small_batches", "table", "text_views", "without_rows",
+    "ascii_lower", "cut", "drop", "few_sent", "grams", "mix", "padded", "partitions", "prefix_hash", "random_table", "separated", "shared_dir", "small_batches", "table", "text_views", "without_rows",
 ]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,6 +44,14 @@ def separated(column: str) -> Column:
     return F.concat(F.coalesce(F.col(column), F.lit("")), F.lit(" ")).cast("binary").alias(column)
 
 
+def padded(batch: pa.RecordBatch, column: str, before: str, after: str) -> pa.RecordBatch:
+    """A batch of the column alone, as bytes, with something before and after each text; null is empty. The padding is
+    put on in the worker, so that a text travels there once."""
+    text = batch.column(column).cast(pa.large_binary()).fill_null(b"")
+    whole = pc.binary_join_element_wise(pa.scalar(before.encode(), pa.large_binary()), text, pa.scalar(after.encode(), pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+    return pa.RecordBatch.from_arrays([whole], [column])
+
+
 def few_sent(rows: DataFrame, most: int = MOST_SENT) -> DataFrame:
     """rows, to be broadcast if they were counted to be few; else the join shuffles. rows must be cut (they are counted)."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import grams, mix, prefix_hash, random_table, separated, small_batches, table, text_views
+from loomline.llm.common import grams, mix, padded, prefix_hash, random_table, separated, small_batches, table, text_views
 
 SEED_WORDS, RARE, MIN_SCORE, BLOCK_CHARS = 3, 4, 0.5, 8_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -263,10 +263,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         def clean(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 stays = np.ones(b.num_rows, bool)
-                for start, _, data, offsets in text_views(b, "__loom_text", _BLOCK):
+                for start, _, data, offsets in text_views(padded(b, "text", "", " "), "text", _BLOCK):
                     text, _, score = align(items, *word_hashes(data, offsets))
                     stays[start + text[score >= MIN_SCORE]] = False
                 yield b.select(columns).filter(pa.array(stays))
 
-        docs = docs.withColumn("__loom_text", separated("text")).mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(clean, docs.schema)
     return docs

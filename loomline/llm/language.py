@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import cut, small_batches, table, text_views
+from loomline.llm.common import cut, padded, small_batches, table, text_views
 
 FIT_ROWS, CLASSES, ALPHA, SHARPNESS, AMBIGUOUS = 6000, 1 << 15, 0.5, 6.0, 0.05
 #: Languages that a model may tell apart: the most frequent ones, if labels name more.
 MOST_LANGS = 2000
 UNDETERMINED = "und"
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 
 #: Letters keep their (lower-cased) byte, bytes of longer characters stay, all else is one class.
 _FOLD = np.full(256, 0x20, np.uint32)
@@ -174,12 +174,12 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return model
 
 
-def _judge(model: Model, batch: pa.RecordBatch, text: str, letter: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _judge(model: Model, batch: pa.RecordBatch, letter: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each row the index of its language (past the last: undetermined), its score, its lead over the second."""
     n = batch.num_rows
     best, score, lead = np.full(n, len(model.langs)), np.zeros(n), np.zeros(n)
     if model.langs:
-        for at, end, data, offsets in text_views(batch, text, _BLOCK):
+        for at, end, data, offsets in text_views(padded(batch, "text", "  ", " "), "text", _BLOCK):
             best[at:end], score[at:end], lead[at:end] = model.decode(model.margins(data, offsets))
     mute = ~batch.column(letter).to_numpy(zero_copy_only=False).astype(bool)
     best[mute], score[mute], lead[mute] = len(model.langs), 0, 1
@@ -198,11 +198,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            best, score, lead = _judge(model, b, "text", "letter")
+            best, score, lead = _judge(model, b, "letter")
             columns = [b.column(0), pa.array(langs[best], pa.string()), pa.array(score), pa.array(lead < AMBIGUOUS)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return docs.select("doc_id", _padded(), _letter().alias("letter")).mapInArrow(of, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+    return docs.select("doc_id", "text", _letter().alias("letter")).mapInArrow(of, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
 
 
 def determined(docs: DataFrame, model: Model) -> DataFrame:
@@ -213,11 +213,11 @@ def determined(docs: DataFrame, model: Model) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            best, _, lead = _judge(model, b, "__loom_text", "__loom_letter")
+            best, _, lead = _judge(model, b, "__loom_letter")
             stays = pa.array((best != unknown) & (lead >= AMBIGUOUS))
             yield b.select(columns).filter(stays)
 
-    return docs.withColumns({"__loom_text": _padded(), "__loom_letter": _letter()}).mapInArrow(of, docs.schema)
+    return docs.withColumn("__loom_letter", _letter()).mapInArrow(of, docs.schema)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

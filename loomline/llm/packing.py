@@ -31,7 +31,7 @@ from loomline.llm.common import cut, partitions, small_batches, table
 
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Words whose ids a worker remembers, none longer than LONGEST bytes; later ones are encoded each time.
-REMEMBERED, LONGEST = 900_000, 40
+REMEMBERED, LONGEST = 500_000, 40
 #: Placements that are broadcast; more are joined by a shuffle.
 MOST_SENT = 200_000
 _BETWEEN = "\x01"

@@ -132,14 +132,14 @@ rejected AS (
   SELECT side, z, i, role, text, i <= n AS common, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS line
   FROM (SELECT 'c' AS side, * FROM chosen UNION ALL SELECT 'r', * FROM rejected) JOIN lcp USING (z)
 ), placed AS (
-  SELECT *, sum(length(line)) OVER (PARTITION BY side, z, common ORDER BY i) - length(line) AS at FROM shown
+  SELECT *, sum(length(line)) OVER (PARTITION BY side, z, common ORDER BY i) - length(line) AS begin_ FROM shown
 ), made AS (
   SELECT z, coalesce(string_agg(line, '' ORDER BY i) FILTER (WHERE common AND side = 'c'), '') AS prompt,
          coalesce(string_agg(line, '' ORDER BY i) FILTER (WHERE NOT common AND side = 'c'), '') AS chosen,
          coalesce(string_agg(line, '' ORDER BY i) FILTER (WHERE NOT common AND side = 'r'), '') AS rejected,
          coalesce(string_agg(span, ';' ORDER BY i) FILTER (WHERE NOT common AND side = 'c' AND role = 'assistant'), '') AS chosen_mask,
          coalesce(string_agg(span, ';' ORDER BY i) FILTER (WHERE NOT common AND side = 'r' AND role = 'assistant'), '') AS rejected_mask
-  FROM (SELECT *, CAST(CAST(at AS BIGINT) + length(role) + 5 AS VARCHAR) || '-' || CAST(CAST(at AS BIGINT) + length(line) - 1 AS VARCHAR) AS span FROM placed) GROUP BY z
+  FROM (SELECT *, CAST(CAST(begin_ AS BIGINT) + length(role) + 5 AS VARCHAR) || '-' || CAST(CAST(begin_ AS BIGINT) + length(line) - 1 AS VARCHAR) AS span FROM placed) GROUP BY z
 )
 SELECT b.conv_id AS pair_id, CAST(l.n AS INTEGER) AS prefix_turns, m.prompt, m.chosen, m.rejected, m.chosen_mask, m.rejected_mask
 FROM branch b JOIN lcp l ON l.z = b.z JOIN made m ON m.z = b.z

@@ -49,7 +49,7 @@ SHINGLE, DISTANCE, SEED = 3, 2, 42
 CELL = 512
 _ODD = 0x5555555555555555
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1].astype(np.int64)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Unsigned: bit b is 1 if set in over half the shingles' XXH64."""
