@@ -39,6 +39,8 @@ from loomline.llm.chunk_dedup import REPORT, report
 from loomline.llm.common import cut, mix, prefix_hash, random_table, table
 
 WINDOW, GRAM, CONTEXTS = 100, 44, 4
+#: Bytes that a byte of stretches weighs in its bucket: ranks and their sorting take that many times as much.
+STRETCHED = 3
 _BASE = 0xD1342543DE82EF95
 _TABLE = random_table(31)
 _ANCHOR = np.dtype([("k", "<u8"), ("c", "<u8"), ("at", "<u4")])
@@ -256,7 +258,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id and the columns of REPORT: each document without what stood earlier."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = text_blocks(docs)
-    n = buckets(blocks, _ANCHOR.itemsize / 30)
+    n, stretched = buckets(blocks, _ANCHOR.itemsize / 30), buckets(blocks, STRETCHED)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, _ in opened(batches):
@@ -266,7 +268,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for block, b, i in opened(batches):
             anchors = Anchors(block, window)
             keys, data, _ = anchors.open_keys(anchors.settle(told(answers(b, i, "anchors")))[1])
-            yield from dealt_text(block.number, n, keys, data, keys["n"].astype(np.int64) + window - 1)
+            yield from dealt_text(block.number, stretched, keys, data, keys["n"].astype(np.int64) + window - 1)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, b, i in opened(batches):
