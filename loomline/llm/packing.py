@@ -1,15 +1,24 @@
 """Best-fit packing of tokenised documents in bulk-synchronous supersteps.
 
-Pieces and gaps are held sorted by size as runs: a superstep takes the pieces of one length, longest first, all at
-once. A sweep over the gaps from that length upwards gives each piece its successor, the smallest gap that holds it;
-where pieces want the same gap, the lower rank has it and the others go on to the next; what no gap holds opens new
-sequences; the gaps shrink; the next superstep follows. This yields what best-fit decreasing yields one by one.
-
-Ranks are distributed: the rank of a piece within its length is the count of pieces in lower salted parts plus its place
-in its own part, so that a length that a third of all pieces have is still dealt over all tasks. A sweep itself needs no
-piece, only the runs: lengths and gaps are at most the capacity, so that their table is of at most 2048 entries at any
-size of the corpus. That table is swept on the driver, and the resulting placements (rank interval to sequences) join
-the pieces by length on the executors.
+A superstep takes the pieces of one class of lengths, (capacity / 2^(c+1), capacity / 2^c], longest class first, and the
+gaps that sequences have left:
+
+1. Range sort. A gap of g offers g // h slots of the class's greatest length h, and one of what remains. Pieces and slots
+   are dealt into ranges of rising size; of equal sizes a hash decides, so that a length that a third of all pieces have
+   fills many ranges, and so do the slots of size h.
+2. Successor sweep. Each range is swept by rising size: a slot takes the largest pieces before it that are left, which is
+   to say that a piece goes to the nearest slot that holds it.
+3. Conflicts by rank. What a range cannot match is ranked there. From the ranges' counts alone (a few rows a range) slots
+   left over are given, interval by interval, to the largest pieces that lower ranges have left; equal ranks meet.
+4. Pieces that no gap holds open sequences: of those of which k fit into the capacity, k of neighbouring rank share one.
+5. Gaps shrink, and the next superstep follows.
+
+Every sequence but the last of each k is more than half full when it is opened, so at the end there are at most as many
+others as there are different k (about twice the capacity's square root, at any size of the corpus). They are read by the
+driver and merged where two fit into one.
+
+Best-fit decreasing piece by piece (sweep(), over a histogram of lengths) is what tests hold the number of sequences
+against.
 
 Nulls: a null text counts as empty and gives one piece of the end id alone. Rows that repeat or share a doc_id are
 packed separately. Null doc_ids are kept. An empty table gives no rows. Columns besides doc_id and text are not read.
@@ -32,8 +41,6 @@ from loomline.llm.common import cut, partitions, small_batches, table
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Words whose ids a worker remembers, none longer than LONGEST bytes; later ones are encoded each time.
 REMEMBERED, LONGEST = 500_000, 40
-#: Placements that are broadcast; more are joined by a shuffle.
-MOST_SENT = 200_000
 _BETWEEN = "\x01"
 
 
@@ -166,27 +173,176 @@ def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, i
     return placed
 
 
+#: Kinds of tokens that are swept: a piece, or slots of a sequence.
+_PIECE, _SLOT = 0, 1
+_SWEPT = "part int, kind int, id long, size long, match long, rank long, n long"
+_KINDS = [pa.int32(), pa.int32(), *[pa.int64()] * 5]
+
+
+def sweep_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of tokens (part, kind, id, size, n), each by rising size. A matched piece has its sequence (match); what
+    stays unmatched has its rank among the range's pieces or slots."""
+    names = [x.split()[0] for x in _SWEPT.split(", ")]
+    here, pending, spare = None, [], 0
+
+    def made(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[at : at + 10_000]), _KINDS)], names)
+
+    def rest() -> Iterator[pa.RecordBatch]:
+        yield from made([(here, _PIECE, id_, size, None, k, 1) for k, (id_, size) in enumerate(pending)])
+
+    for b in batches:
+        rows = []
+        for part, kind, id_, size, n in zip(*(b.column(k).to_pylist() for k in range(5))):
+            if part != here:
+                yield from made(rows)
+                yield from rest()
+                here, pending, spare, rows = part, [], 0, []
+            if kind == _PIECE:
+                pending.append((id_, size))
+                continue
+            take = min(n, len(pending))
+            for _ in range(take):
+                pid, length = pending.pop()
+                rows.append((part, _PIECE, pid, length, id_, None, 1))
+            if n > take:
+                rows.append((part, _SLOT, id_, size, None, spare, n - take))
+                spare += n - take
+        yield from made(rows)
+    yield from rest()
+
+
+Interval = tuple[int, int, int, int]
+
+
+def _small(spark: SparkSession, rows: list[tuple], *names: str) -> DataFrame:
+    """A few rows of whole numbers, as part of the plan (no task makes them), to be broadcast."""
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return F.broadcast(spark.createDataFrame(pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns)})))
+
+
+def carried(left: dict[int, int], spare: dict[int, int]) -> tuple[list[Interval], list[Interval]]:
+    """left: unmatched pieces of each range, spare: unmatched slots. Slots of a range serve the largest pieces that ranges
+    below it still have, the nearest range first. Intervals (range, first rank, end rank, first match) of pieces and of
+    slots; ranks of equal match meet."""
+    below: list[list[int]] = []
+    pieces, slots, match = [], [], 0
+    for r in sorted({*left, *spare}):
+        at = 0
+        while at < spare.get(r, 0) and below:
+            i, have = below[-1]
+            take = min(spare[r] - at, have)
+            pieces.append((i, have - take, have, match))
+            slots.append((r, at, at + take, match))
+            match, at = match + take, at + take
+            below[-1][1] -= take
+            if not below[-1][1]:
+                below.pop()
+        if left.get(r):
+            below.append([r, left[r]])
+    return pieces, slots
+
+
+def _tokens(pieces_: DataFrame, gaps: DataFrame | None, lengths: dict[int, int], low: int, high: int, ranges: int) -> DataFrame:
+    """Pieces of a class and the slots that gaps offer it, by range. lengths: how many pieces have each length."""
+    own = sorted(n for n in lengths if low < n <= high)
+    total, before, table_ = sum(lengths[n] for n in own), 0, []
+    for n in range(low + 1, high + 1):  # a row for every size
+        table_.append((n, before, lengths.get(n, 0)))
+        before += lengths.get(n, 0)
+    spark = pieces_.sparkSession
+    sizes = _small(spark, table_, "size", "before", "many")
+    one = F.lit(1).cast("long")
+    tokens = pieces_.filter((F.col("length") > low) & (F.col("length") <= high)).select(F.lit(_PIECE).alias("kind"), F.col("pid").alias("id"), F.col("length").alias("size"), one.alias("n"), F.lit(0).cast("long").alias("gap"))
+    if gaps is not None:
+        slot = lambda size, n: gaps.select(F.lit(_SLOT).alias("kind"), F.col("sid").alias("id"), size.alias("size"), n.alias("n"), "gap").filter(F.col("n") > 0)
+        whole, part = slot(F.lit(high).cast("long"), F.floor(F.col("gap") / high)), slot(F.col("gap") % high, one).filter(F.col("size") > low)
+        tokens = tokens.unionByName(whole).unionByName(part)
+    salt = F.pmod(F.xxhash64("id", "kind"), F.lit(1 << 20)) / (1 << 20)
+    by_size = F.floor((F.col("before") + salt * F.col("many")) * ranges / max(1, total)).cast("int")
+    top = F.lit(ranges) + F.floor(salt * ranges).cast("int")  # slots of the greatest size, above all pieces
+    part = F.when((F.col("kind") == _SLOT) & (F.col("size") == high), top).otherwise(F.least(by_size, F.lit(ranges - 1)))
+    dealt = tokens.join(sizes, "size").withColumn("part", part)
+    return dealt.repartition(ranges, "part").sortWithinPartitions("part", "size", "kind", F.desc("gap")).select("part", "kind", "id", "size", "n")
+
+
+def supersteps(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """pieces_: pid, length (cut). pid, sid (a sequence), length of each."""
+    spark, ranges = pieces_.sparkSession, partitions(pieces_)
+    lengths = {r.length: r.n for r in pieces_.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
+    placed = None
+    opened, high = 0, capacity
+    while high >= 1:
+        low, now = high // 2, high
+        high = low
+        if not any(low < n <= now for n in lengths):
+            continue
+        gaps = None
+        if opened:
+            gaps = placed.groupBy("sid").agg((F.lit(capacity) - F.sum("length")).alias("gap")).filter(F.col("gap") > low)
+        swept = cut(_tokens(pieces_, gaps, lengths, low, now, ranges).mapInArrow(sweep_ranges, _SWEPT))
+        open_ = swept.filter("match is null").withColumn("fits", F.when(F.col("kind") == _PIECE, F.floor(F.lit(capacity) / F.col("size"))).otherwise(F.lit(0)))
+        counts = open_.groupBy("part", "kind", "fits").agg(F.sum("n").alias("n"), F.min("rank").alias("first")).collect()  # a few rows a range
+        left, spare = {}, {}
+        for r in counts:
+            of = left if r.kind == _PIECE else spare
+            of[r.part] = of.get(r.part, 0) + r.n
+        piece_at, slot_at = carried(left, spare)
+        pairs = swept.filter("match is not null").select(F.col("id").alias("pid"), F.col("match").alias("sid"), F.col("size").alias("length"))
+        stay = dict(left)  # the largest of a range are carried
+        if piece_at:
+            interval = ("part", "low", "high", "base")
+            p = open_.filter(F.col("kind") == _PIECE).join(_small(spark, piece_at, *interval), "part").filter((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+            p = p.select(F.col("id").alias("pid"), F.col("size").alias("length"), (F.col("base") + F.col("rank") - F.col("low")).alias("m"))
+            s = open_.filter(F.col("kind") == _SLOT).join(_small(spark, slot_at, *interval), "part")
+            s = s.withColumns({"a": F.greatest("rank", "low"), "z": F.least(F.col("rank") + F.col("n"), "high")}).filter("a < z")
+            s = s.select(F.col("id").alias("sid"), F.explode(F.sequence(F.col("base") + F.col("a") - F.col("low"), F.col("base") + F.col("z") - F.col("low") - 1)).alias("m"))
+            pairs = pairs.unionByName(p.join(s, "m").select("pid", "sid", "length"))
+            for i, first, _, _ in piece_at:
+                stay[i] = min(first, stay[i])
+        # pieces that stay, from the largest on: of one k, ranges one after another
+        starts, many = [], {}
+        for r in sorted((r for r in counts if r.kind == _PIECE), key=lambda r: (r.fits, r.part)):
+            if n := min(r.n, stay[r.part] - r.first) if stay[r.part] > r.first else 0:
+                starts.append((r.part, r.fits, r.first, many.get(r.fits, 0)))
+                many[r.fits] = many.get(r.fits, 0) + n
+        base = {}
+        for k, n in many.items():
+            base[k], opened = opened, opened + -(-n // k)
+        if starts:
+            table_ = _small(spark, [(*x, base[x[1]], stay[x[0]]) for x in starts], "part", "fits", "low", "before", "base", "stay")
+            new = open_.filter(F.col("kind") == _PIECE).join(table_, ["part", "fits"]).filter(F.col("rank") < F.col("stay"))
+            place = F.col("before") + F.col("rank") - F.col("low")
+            pairs = pairs.unionByName(new.select(F.col("id").alias("pid"), (F.col("base") + F.floor(place / F.col("fits"))).alias("sid"), F.col("size").alias("length")))
+        pairs = cut(pairs)
+        placed = pairs if placed is None else placed.unionByName(pairs)
+    return pieces_.select("pid", F.col("pid").alias("sid"), "length").limit(0) if placed is None else placed
+
+
+def merged(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Sequences that are at most half full, few at any size of the corpus, put together where they fit."""
+    fill = placed.groupBy("sid").agg(F.sum("length").alias("fill")).filter(F.col("fill") <= capacity // 2)
+    into, room = [], []
+    for r in sorted(fill.collect(), key=lambda r: (-r.fill, r.sid)):
+        at = min((k for k in range(len(room)) if room[k][1] >= r.fill), key=lambda k: room[k][1], default=None)
+        if at is None:
+            room.append([r.sid, capacity - r.fill])
+        else:
+            into.append((r.sid, room[at][0]))
+            room[at][1] -= r.fill
+    if not into:
+        return placed
+    return placed.join(_small(placed.sparkSession, into, "sid", "into"), "sid", "left").select("pid", F.coalesce("into", "sid").alias("sid"), "length")
+
+
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ...)."""
-    spark, parts = cut_pieces.sparkSession, partitions(cut_pieces)
-    dealt = cut(cut_pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int")))
-    runs = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    runs = cut(runs)  # at most capacity x parts rows
-    counts = {r.length: r.n for r in runs.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    kind = "length long, low long, high long, first long, each long, begin long"
-    places = sweep(counts, capacity)
-    placed = spark.createDataFrame(places, kind)
-    if len(places) <= MOST_SENT:
-        placed = F.broadcast(placed)
-    before = runs.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = dealt.withColumn("place", place).join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("place") - 1)
-    k = F.col("rank") - F.col("low")
-    return (
-        ranked.join(placed, "length")
-        .filter((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-        .select(*cut_pieces.columns, (F.col("first") + F.floor(k / F.col("each"))).alias("sequence_id"), (F.col("begin") + (k % F.col("each")) * F.col("length")).alias("offset"))
-    )
+    numbered = cut(cut_pieces.withColumn("pid", F.monotonically_increasing_id()))
+    sequences = merged(supersteps(numbered.select("pid", "length"), capacity), capacity)
+    in_order = Window.partitionBy("sid").orderBy(F.desc("length"), "pid")
+    offsets = sequences.withColumn("offset", F.sum("length").over(in_order) - F.col("length"))
+    return numbered.join(offsets.select("pid", F.col("sid").alias("sequence_id"), "offset"), "pid").select(*cut_pieces.columns, "sequence_id", "offset")
 
 
 def packed(docs: DataFrame) -> DataFrame:

@@ -509,6 +509,29 @@ def test_sweep_is_best_fit_decreasing(seed):
     assert sorted(64 - sum(n for _, n in p) for p in bins.values()) == best_fit_decreasing(lengths, 64)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_supersteps_pack_as_well_as_best_fit_decreasing(spark, seed):
+    """Mixed lengths, a hot one, only long ones, only short ones: whole, within capacity, and hardly any more sequences."""
+    rng = random.Random(seed)
+    draw = [lambda: rng.randint(1, 64), lambda: rng.choice([rng.randint(1, 64), 21, 21]), lambda: rng.randint(33, 64), lambda: rng.randint(1, 9), lambda: 20, lambda: rng.choice([64, 63, 1, 2, 40, 24])][seed]
+    lengths = [draw() for _ in range(600)]
+    pieces = packing.cut(spark.createDataFrame(list(enumerate(lengths)), "pid long, length long"))
+    got = packing.merged(packing.supersteps(pieces, 64), 64).collect()
+    assert sorted((r.pid, r.length) for r in got) == list(enumerate(lengths))
+    fill = {}
+    for r in got:
+        fill[r.sid] = fill.get(r.sid, 0) + r.length
+    assert max(fill.values()) <= 64
+    assert len(fill) <= 1.02 * len(best_fit_decreasing(lengths, 64)) + 2
+    assert packing.supersteps(packing.cut(pieces.limit(0)), 64).count() == 0
+
+
+def test_ranks_of_ranges_meet():
+    pieces, slots = packing.carried({0: 5, 2: 3, 4: 9}, {1: 2, 3: 6, 5: 1})
+    assert pieces == [(0, 3, 5, 0), (2, 0, 3, 2), (0, 0, 3, 5), (4, 8, 9, 8)] and slots == [(1, 0, 2, 0), (3, 0, 3, 2), (3, 3, 6, 5), (5, 0, 1, 8)]
+    assert packing.carried({}, {1: 4}) == ([], []) and packing.carried({3: 1}, {1: 4}) == ([], [])
+
+
 # --- preference formatting
 
 
