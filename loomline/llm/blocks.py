@@ -4,9 +4,10 @@ A block holds consecutive documents by doc_id, about BLOCK_BYTES together. Block
 offset) is a place in the whole corpus and places compare like documents. Blocks are written once to the shared folder;
 each pass over the text reads them again.
 
-earlier() answers for keys that blocks send: a block sends a key once, from its first place, however often it holds it
-(pre-aggregation before the shuffle), so a passage in a third of all documents costs one entry per block. Keys travel as
-packed arrays, a row per block and bucket; the bucket is a hash of the key.
+earlier() answers for keys that blocks send. Keys combine twice before they are shuffled: a block sends a key once, from
+its first place, and a task sends it for the first of its blocks alone (Sent, which remembers a bounded number of keys);
+later blocks of the task know their answer and send just that. So a passage in a third of all documents costs an entry a
+task. Keys travel as packed arrays, a row per block and bucket; the bucket is a hash of the key.
 """
 
 from __future__ import annotations
@@ -112,6 +113,43 @@ def dealt(number: int, n: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
     )
 
 
+def digests(keys: np.ndarray, *fields: str) -> list[bytes]:
+    """These 64-bit fields of each key, as bytes."""
+    raw = np.column_stack([keys[f] for f in fields]).astype("<u8").tobytes()
+    width = 8 * len(fields)
+    return [raw[i : i + width] for i in range(0, len(raw), width)]
+
+
+class Sent:
+    """The keys that a task has sent so far, as bytes, at most MOST of them: what it forgets is sent again."""
+
+    MOST = 1_000_000
+
+    def __init__(self) -> None:
+        self.seen: set[bytes] = set()
+
+    def fresh(self, keys: list[bytes]) -> np.ndarray:
+        """Which of these (each once) were not sent before; they count as sent now."""
+        new = np.fromiter((k not in self.seen for k in keys), bool, len(keys))
+        if len(self.seen) < self.MOST:
+            self.seen.update(keys)
+        return new
+
+
+def known(number: int, words: np.ndarray, text: bool = False) -> Iterator[pa.RecordBatch]:
+    """Answers that a block has without asking, to travel with the keys: a bucket of their own."""
+    if len(words):
+        columns = [pa.array([-1 - number], pa.int64()), pa.array([number], pa.int64()), pa.array([words.astype("<u4").tobytes()], pa.binary())]
+        names = ["bucket", "block", "keys"]
+        yield pa.RecordBatch.from_arrays([*columns, *[pa.array([b""], pa.binary())] * text], [*names, *["text"] * text])
+
+
+def _known(t: pa.Table) -> pa.Table | None:
+    if t.column("bucket")[0].as_py() < 0:
+        return pa.table({"block": t.column("block"), "answer": t.column("keys")})
+    return None
+
+
 DEALT = "bucket long, block long, keys binary"
 
 
@@ -120,6 +158,8 @@ def earlier(entries: DataFrame, dtype: np.dtype, judge: Callable[[np.ndarray, np
     bucket. Returns block, answers (a list of packed words)."""
 
     def reduce(t: pa.Table) -> pa.Table:
+        if (told := _known(t)) is not None:
+            return told
         rows = [np.frombuffer(x.as_py(), dtype) for x in t.column("keys")]
         block = np.repeat(t.column("block").to_numpy(), [len(r) for r in rows])
         words = judge(np.concatenate(rows), block)
@@ -159,6 +199,8 @@ def earlier_text(entries: DataFrame, dtype: np.dtype, judge: Callable[[np.ndarra
     block, answers, as earlier() does."""
 
     def reduce(t: pa.Table) -> pa.Table:
+        if (told := _known(t)) is not None:
+            return told
         rows = [np.frombuffer(x.as_py(), dtype) for x in t.column("keys")]
         block = np.repeat(t.column("block").to_numpy(), [len(r) for r in rows])
         data = np.frombuffer(b"".join(x.as_py() for x in t.column("text")), np.uint8)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm.blocks import DEALT, Block, answers, buckets, dealt, earlier, opened, text_blocks
+from loomline.llm.blocks import DEALT, Block, Sent, answers, buckets, dealt, digests, earlier, known, opened, text_blocks
 from loomline.llm.common import cut, table
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS, MIN_RUN = 16, 256, 5, 100
@@ -147,9 +147,13 @@ def chunk_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     n = buckets(blocks, _KEY.itemsize / 40)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = Sent()
         for block, _, _ in opened(batches):
             begin, end, _ = chunk_bounds(block)
-            yield from dealt(block.number, n, chunk_keys(block, begin, end)[0])
+            keys = chunk_keys(block, begin, end)[0]
+            new = sent.fresh(digests(keys, "k", "l"))
+            yield from dealt(block.number, n, keys[new])
+            yield from known(block.number, keys["at"][~new] + np.uint32(1))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, b, i in opened(batches):
@@ -158,8 +162,8 @@ def chunk_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
             duplicate[answers(b, i, "answers").astype(np.int64) - 1] = True
             yield report(block, removed_runs(block, begin, end, doc, duplicate, min_run), np.bincount(doc, minlength=len(block.starts)))
 
-    known = cut(earlier(blocks.mapInArrow(send, DEALT), _KEY, _later))
-    return blocks.join(known, "block", "left").mapInArrow(settle, f"doc_id {kind}, {REPORT}, n_chunks long")
+    told = cut(earlier(blocks.mapInArrow(send, DEALT), _KEY, _later))
+    return blocks.join(told, "block", "left").mapInArrow(settle, f"doc_id {kind}, {REPORT}, n_chunks long")
 
 
 def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,9 @@ A suffix array of the whole corpus would move every byte many times; only suffix
    the previous and next smaller places off it.
 3. The union of repeating windows is taken out of each document.
 
-Both steps get a key once per block (blocks.py), at most CONTEXTS contexts of an anchor and block (the windows of
-further ones stay open, and step 2 settles them exactly), so a passage that a block repeats costs no more than one copy.
+The first step gets a key once per task, the second once per block (blocks.py), at most CONTEXTS contexts of an anchor and
+block (the windows of further ones stay open, and step 2 settles them exactly), so a passage that a block repeats costs no
+more than one copy.
 
 A null text counts as empty; null doc_ids come first in the order. Rows that share a doc_id are ordered by text; of
 wholly repeated rows one counts as the first. Removal goes by bytes; the kept text replaces cut characters. Very long
@@ -34,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm.blocks import DEALT, DEALT_TEXT, Block, answers, buckets, dealt, dealt_text, earlier, earlier_text, opened, text_blocks
+from loomline.llm.blocks import DEALT, DEALT_TEXT, Block, Sent, answers, buckets, dealt, dealt_text, digests, earlier, earlier_text, known, opened, text_blocks
 from loomline.llm.chunk_dedup import REPORT, report
 from loomline.llm.common import cut, mix, prefix_hash, random_table, table
 
@@ -261,8 +262,12 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n, stretched = buckets(blocks, _ANCHOR.itemsize / 30), buckets(blocks, STRETCHED)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = Sent()
         for block, _, _ in opened(batches):
-            yield from dealt(block.number, n, Anchors(block, window).keys())
+            keys = Anchors(block, window).keys()
+            new = sent.fresh(digests(keys, "k", "c"))  # a context that the task has sent stood earlier
+            yield from dealt(block.number, n, keys[new])
+            yield from known(block.number, (keys["at"][~new] << np.uint32(1)) + np.uint32(_REPEATS + 1))
 
     def send_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, b, i in opened(batches):

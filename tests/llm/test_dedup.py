@@ -304,6 +304,25 @@ def test_chunk_dedup_matches_brute_force(docs_of, seed):
     assert chunk_dedup.chunk_dedup(docs_of([]).limit(0)).count() == 0
 
 
+def test_chunk_dedup_over_many_blocks(docs_of, monkeypatch):
+    from loomline.llm import blocks
+
+    texts = repeated_passages(23) * 3
+    small = blocks.text_blocks
+    monkeypatch.setattr(chunk_dedup, "text_blocks", lambda d: small(d, 500))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_chunks) for r in chunk_dedup.chunk_dedup(docs_of(list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_chunks(texts)
+
+
+def test_a_task_sends_a_key_once():
+    from loomline.llm import blocks
+
+    sent = blocks.Sent()
+    assert sent.fresh([b"a", b"b"]).tolist() == [True, True] and sent.fresh([b"b", b"c"]).tolist() == [False, True]
+    sent.MOST = 3
+    assert sent.fresh([b"d"]).tolist() == [True] and sent.fresh([b"d", b"a"]).tolist() == [True, False]
+
+
 def test_passage_of_fifty_words_is_found(docs_of):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
