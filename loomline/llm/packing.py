@@ -40,7 +40,9 @@ from loomline.llm.common import cut, partitions, small_batches, table
 
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Words whose ids a worker remembers, none longer than LONGEST bytes; later ones are encoded each time.
-REMEMBERED, LONGEST = 500_000, 40
+REMEMBERED, LONGEST = 900_000, 40
+#: Pieces and gaps that a range is to hold.
+RANGE = 20_000
 _BETWEEN = "\x01"
 
 
@@ -269,7 +271,7 @@ def _tokens(pieces_: DataFrame, gaps: DataFrame | None, lengths: dict[int, int],
 
 def supersteps(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces_: pid, length (cut). pid, sid (a sequence), length of each."""
-    spark, ranges = pieces_.sparkSession, partitions(pieces_)
+    spark, most = pieces_.sparkSession, 4 * partitions(pieces_)
     lengths = {r.length: r.n for r in pieces_.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     placed = None
     opened, high = 0, capacity
@@ -278,6 +280,7 @@ def supersteps(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         high = low
         if not any(low < n <= now for n in lengths):
             continue
+        ranges = min(most, 1 + (opened + sum(n for k, n in lengths.items() if low < k <= now)) // RANGE)
         gaps = None
         if opened:
             gaps = placed.groupBy("sid").agg((F.lit(capacity) - F.sum("length")).alias("gap")).filter(F.col("gap") > low)
