@@ -318,7 +318,7 @@ def supersteps(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             new = open_.filter(F.col("kind") == _PIECE).join(table_, ["part", "fits"]).filter(F.col("rank") < F.col("stay"))
             place = F.col("before") + F.col("rank") - F.col("low")
             pairs = pairs.unionByName(new.select(F.col("id").alias("pid"), (F.col("base") + F.floor(place / F.col("fits"))).alias("sid"), F.col("size").alias("length")))
-        pairs = cut(pairs)
+        pairs = cut(pairs.coalesce(ranges))
         placed = pairs if placed is None else placed.unionByName(pairs)
     return pieces_.select("pid", F.col("pid").alias("sid"), "length").limit(0) if placed is None else placed
 
