@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import cut, drop, partitions, small_batches, table
+from loomline.llm.common import cut, partitions, small_batches, table
 
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Words whose ids a worker remembers, none longer than LONGEST bytes; later ones are encoded each time.
@@ -273,7 +273,7 @@ def supersteps(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces_: pid, length (cut). pid, sid (a sequence), length of each."""
     spark, most = pieces_.sparkSession, 4 * partitions(pieces_)
     lengths = {r.length: r.n for r in pieces_.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
-    placed, gaps = None, None
+    placed = None
     opened, high = 0, capacity
     while high >= 1:
         low, now = high // 2, high
@@ -281,8 +281,10 @@ def supersteps(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         if not any(low < n <= now for n in lengths):
             continue
         ranges = min(most, 1 + (opened + sum(n for k, n in lengths.items() if low < k <= now)) // RANGE)
-        offered, first_new = gaps.filter(F.col("gap") > low) if gaps is not None else None, opened
-        swept = cut(_tokens(pieces_, offered, lengths, low, now, ranges).mapInArrow(sweep_ranges, _SWEPT))
+        gaps = None
+        if opened:
+            gaps = placed.groupBy("sid").agg((F.lit(capacity) - F.sum("length")).alias("gap")).filter(F.col("gap") > low)
+        swept = cut(_tokens(pieces_, gaps, lengths, low, now, ranges).mapInArrow(sweep_ranges, _SWEPT))
         open_ = swept.filter("match is null").withColumn("fits", F.when(F.col("kind") == _PIECE, F.floor(F.lit(capacity) / F.col("size"))).otherwise(F.lit(0)))
         counts = open_.groupBy("part", "kind", "fits").agg(F.sum("n").alias("n"), F.min("rank").alias("first")).collect()  # a few rows a range
         left, spare = {}, {}
@@ -317,14 +319,6 @@ def supersteps(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             place = F.col("before") + F.col("rank") - F.col("low")
             pairs = pairs.unionByName(new.select(F.col("id").alias("pid"), (F.col("base") + F.floor(place / F.col("fits"))).alias("sid"), F.col("size").alias("length")))
         pairs = cut(pairs.coalesce(ranges))
-        drop(swept)
-        # gaps shrink by what this superstep placed; sequences that it opened begin with the whole capacity
-        changed = pairs.select("sid", (-F.col("length")).alias("gap"))
-        changed = (changed if gaps is None else gaps.unionByName(changed)).groupBy("sid").agg(F.sum("gap").alias("gap"))
-        whole = F.when(F.col("sid") >= first_new, capacity).otherwise(0)
-        before, gaps = gaps, cut(changed.withColumn("gap", F.col("gap") + whole).filter("gap > 0").coalesce(ranges))
-        if before is not None:
-            drop(before)
         placed = pairs if placed is None else placed.unionByName(pairs)
     return pieces_.select("pid", F.col("pid").alias("sid"), "length").limit(0) if placed is None else placed
 
