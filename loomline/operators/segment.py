@@ -31,8 +31,9 @@ def split_by_markers(docs: DataFrame, marker: Marker | None = None) -> DataFrame
     counts, so that a table of contents gives way to the body; sections without content go before chapters are numbered.
     All of it is within the row: no text is shuffled."""
     hit, size = marker or marker_of(), F.size("lines")
-    titled = F.transform("lines", lambda line, i: F.struct(i.alias("at"), strip(line).alias("title"), squeeze(line).alias("key"), hit(line).alias("hit")))
-    marks = docs.select("doc_id", F.split("text", "\n", -1).alias("lines")).withColumn("marks", F.filter(titled, lambda m: m["hit"]))
+    placed = F.filter(F.transform("lines", lambda line, i: F.struct(i.alias("at"), line.alias("line"))), lambda m: hit(m["line"]))
+    titled = F.transform(placed, lambda m: F.struct(m["at"].alias("at"), strip(m["line"]).alias("title"), squeeze(m["line"]).alias("key")))
+    marks = docs.select("doc_id", F.split("text", "\n", -1).alias("lines")).withColumn("marks", titled)
     # the last of a key: its place among the marks from behind is the first
     keys = F.transform("marks", lambda m: m["key"])
     last = F.transform_values(F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("k"), k.alias("v")))), lambda k, _: F.size("marks") - F.array_position(F.reverse(keys), k))
