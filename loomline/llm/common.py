@@ -10,10 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.sources.tables import cut, drop, shared_dir
+from loomline.sources.tables import cut, drop, shared_dir, together
 
 __all__ = [
-    "ascii_lower", "cut", "drop", "few_sent", "grams", "mix", "padded", "partitions", "prefix_hash", "random_table", "separated", "shared_dir", "small_batches", "table", "text_views", "without_rows",
+    "ascii_lower", "cut", "drop", "few_sent", "grams", "mix", "padded", "partitions", "prefix_hash", "random_table", "separated", "shared_dir", "small_batches", "table", "text_views", "together", "without_rows",
 ]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

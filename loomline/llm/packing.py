@@ -26,6 +26,7 @@ packed separately. Null doc_ids are kept. An empty table gives no rows. Columns
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import cut, partitions, small_batches, table
+from loomline.llm.common import cut, partitions, small_batches, table, together
 
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Words whose ids a worker remembers, none longer than LONGEST bytes; later ones are encoded each time.
@@ -44,6 +45,11 @@ REMEMBERED, LONGEST = 900_000, 40
 #: Pieces and gaps that a range is to hold.
 RANGE = 20_000
 _BETWEEN = "\x01"
+#: Words of a-z, U+00DF to U+00FF (less the sign of division), digits and ASCII punctuation but the apostrophe, and the
+#: parts into which the vocabulary cuts them: runs of letters, single digits, runs of punctuation.
+_PLAIN = re.compile(rb"(?:[!-&(-@\[-~]++|\xc3[\x9f-\xb6\xb8-\xbf])++")
+_PARTS = re.compile(rb"(?:[a-z]++|\xc3[\x9f-\xb6\xb8-\xbf])++|[0-9]|[!-&(-/:-@\[-`{-~]++")
+_MARKS = bytes(c for c in range(0x21, 0x7F) if c != 0x27 and not chr(c).isalnum())
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -56,16 +62,23 @@ class Words:
     """Ids of words (runs without white space), as little-endian unsigned 32-bit words.
 
     The vocabulary drops white space before it cuts words, so the ids of a text are those of its words one after
-    another; it lower-cases, so A-Z may go first, except where combining marks might compose with the letter; and it
-    cuts a last comma or full stop off a letter. A word seen before costs a lookup.
+    another; it lower-cases, so A-Z may go first, except where combining marks might compose with the letter or where
+    the text would hold a special token only then. It cuts plain words into parts, leaves these as they are, and ends each
+    part with an id that stands nowhere else: their parts go to its merges alone, without its normaliser and pattern. A
+    word seen before costs a lookup.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.merges.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
-        self.stops = {ord(c): self._ids(c) for c in ",."}
         (self.between,) = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
 
     def _ids(self, text: str) -> bytes:
@@ -82,20 +95,46 @@ class Words:
         out.update(zip(plain, [raw[a:z] for a, z in zip([0, *(x + 4 for x in at)], [*at, len(raw)])]))
         return out
 
+    def _merge(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """Many parts of plain words in one call."""
+        out = {}
+        for k in range(0, len(parts), 1000):
+            some = parts[k : k + 1000]
+            ids = np.array(self.merges.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            raw, ends = ids.tobytes(), ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            if len(ends) != len(some):
+                raise ValueError("the vocabulary does not end each part of a word with an id of its own")
+            out.update(zip(some, [raw[a:z] for a, z in zip([0, *ends], ends)]))
+        return out
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [(t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
+        split = []
+        for t in texts:
+            low = t.lower()
+            keep = b"\xcc" in t or b"\xcd" in t or any(x in low for x in self.special)
+            split.append((t if keep else low).split())
         words = list(chain.from_iterable(split))
         known = self.known
         ids = list(map(known.get, words))
         missing = [i for i, x in enumerate(ids) if x is None]
         if missing:
-            stems = {}
+            plain, other = {}, []
             for w in {words[i] for i in missing}:
-                stems[w] = w[:-1] if len(w) > 1 and w[-1] in self.stops and 97 <= w[-2] <= 122 else w
-            fresh = self._encode([w for w in set(stems.values()) if w not in known])
-            for w, stem in stems.items():
-                if w is not stem:
-                    fresh[w] = (known.get(stem) or fresh[stem]) + self.stops[w[-1]]
+                stem = w.rstrip(_MARKS)
+                if any(x in w for x in self.special):
+                    other.append(w)
+                elif stem.isalpha() and stem.islower():  # ASCII alone, the most frequent kind
+                    plain[w] = (stem, w[len(stem) :]) if len(stem) < len(w) else (w,)
+                elif _PLAIN.fullmatch(w):
+                    plain[w] = _PARTS.findall(w)
+                else:
+                    other.append(w)
+            fresh = self._merge([p for p in set(chain.from_iterable(plain.values())) if p not in known])
+            for w, parts in plain.items():
+                if len(parts) > 1:
+                    fresh[w] = b"".join([fresh[p] if p in fresh else known[p] for p in parts])
+            if other:
+                fresh.update(self._encode(other))
             for i in missing:
                 ids[i] = fresh[words[i]]
             if len(known) < REMEMBERED:
@@ -272,6 +311,7 @@ def _tokens(pieces_: DataFrame, gaps: DataFrame | None, lengths: dict[int, int],
 def supersteps(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces_: pid, length (cut). pid, sid (a sequence), length of each."""
     spark, most = pieces_.sparkSession, 4 * partitions(pieces_)
+    tables = []
     lengths = {r.length: r.n for r in pieces_.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     placed = None
     opened, high = 0, capacity
@@ -318,8 +358,8 @@ def supersteps(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             new = open_.filter(F.col("kind") == _PIECE).join(table_, ["part", "fits"]).filter(F.col("rank") < F.col("stay"))
             place = F.col("before") + F.col("rank") - F.col("low")
             pairs = pairs.unionByName(new.select(F.col("id").alias("pid"), (F.col("base") + F.floor(place / F.col("fits"))).alias("sid"), F.col("size").alias("length")))
-        pairs = cut(pairs.coalesce(ranges))
-        placed = pairs if placed is None else placed.unionByName(pairs)
+        tables.append(cut(pairs.coalesce(ranges)))
+        placed = together(tables)  # one scan: a task reads many small files, and later supersteps cost no more of them
     return pieces_.select("pid", F.col("pid").alias("sid"), "length").limit(0) if placed is None else placed
 
 

@@ -51,10 +51,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+
+
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Tables that cut() wrote, of one schema, as one scan."""
+    paths = sorted(set().union(*map(_folders, tables)))
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*paths) if paths else tables[0]
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table that cut() wrote, once nothing will read it again."""
     spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for path in _folders(df):
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         if hadoop.getName().startswith("cut-"):
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -452,6 +452,22 @@ def test_ids_are_the_tokenizer_s(tokenizer):
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in ODD]
 
 
+def test_plain_words_go_to_the_merges_alone(tokenizer):
+    """Letters, digits and punctuation in any order, without the whole tokenizer; other words with it."""
+    rng = random.Random(17)
+    alphabet = ["the", "reathash", "größe", "señor", "x", "q", "7", "1984", ".", ",", "***", "&&&", "</", "w>", "_", "#", "(", ")", "~", "ÿ", "ß"]
+    plain = ["".join(rng.choices(alphabet, k=rng.randint(1, 7))) for _ in range(3000)] + ["</w>", "69.215.74.137", "Reathash&&&,", "THE"]
+    odd = ["don't", "l'eau", "É", "÷2", "3×4", "e\u0301a", "ǅ", "²", "日本語", "a\x01b", "\u0301", "İx", "µ", "<|endoftext|>,", "a<|endoftext|>b", "<|EndOfText|>"]
+    words = packing.Words(packing.vocabulary_path())
+    whole, words.tokenizer = words.tokenizer, None
+    texts = [" ".join(plain[i : i + 50]) for i in range(0, len(plain), 50)] * 2
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert words.encode([t.encode() for t in texts]) == want
+    words.tokenizer = whole
+    texts = [" ".join(rng.sample(odd, 5) + rng.sample(plain, 5)) for _ in range(200)]
+    assert words.encode([t.encode() for t in texts]) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_packing_is_whole_and_gapless(docs_of, tokenizer):
     rng = random.Random(11)
     rows = [(i, t) for i, t in enumerate(ODD)] + [(50, None), (51, "dup"), (51, "dup"), (None, "n")] + [(100 + i, "word " * rng.randint(1, 3000)) for i in range(60)]
@@ -509,6 +525,14 @@ def test_sweep_is_best_fit_decreasing(seed):
     assert sorted(64 - sum(n for _, n in p) for p in bins.values()) == best_fit_decreasing(lengths, 64)
 
 
+def test_supersteps_read_what_is_placed_in_one_scan(spark):
+    """Each superstep adds a table; reading them costs one scan, not one a table."""
+    pieces = packing.cut(spark.createDataFrame([(i, 1 + i % 64) for i in range(640)], "pid long, length long"))
+    placed = packing.supersteps(pieces, 64)
+    assert sorted((r.pid, r.length) for r in placed.collect()) == [(i, 1 + i % 64) for i in range(640)]
+    assert placed._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_supersteps_pack_as_well_as_best_fit_decreasing(spark, seed):
     """Mixed lengths, a hot one, only long ones, only short ones: whole, within capacity, and hardly any more sequences."""
