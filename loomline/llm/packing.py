@@ -40,8 +40,9 @@ from pyspark.sql import functions as F
 from loomline.llm.common import cut, partitions, small_batches, table, together
 
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
-#: Words whose ids a worker remembers, none longer than LONGEST bytes; later ones are encoded each time.
-REMEMBERED, LONGEST = 900_000, 40
+#: Words whose ids a worker remembers, none longer than LONGEST bytes; later ones are encoded each time. In the pipeline
+#: fewer, since its workers also hold what earlier stages left.
+REMEMBERED, LONGEST, REMEMBERED_IN_STAGE = 900_000, 40, 150_000
 #: Pieces and gaps that a range is to hold.
 RANGE = 20_000
 _BETWEEN = "\x01"
@@ -68,10 +69,11 @@ class Words:
     word seen before costs a lookup.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        self.merges = Tokenizer(self.tokenizer.model)  # shared, not read twice
         self.merges.normalizer = normalizers.Sequence([])
         self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.merges.get_vocab(with_added_tokens=False)
@@ -137,7 +139,7 @@ class Words:
                 fresh.update(self._encode(other))
             for i in missing:
                 ids[i] = fresh[words[i]]
-            if len(known) < REMEMBERED:
+            if len(known) < self.remembered:
                 known.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST)
         out, at = [], 0
         for own in split:
@@ -147,18 +149,18 @@ class Words:
 
 
 @lru_cache(2)
-def _words(path: str) -> Words:
-    return Words(path)
+def _words(path: str, remembered: int) -> Words:
+    return Words(path, remembered)
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids, cut only where longer than capacity."""
     small_batches(docs.sparkSession)
     kind, path = docs.schema["doc_id"].dataType.simpleString(), path or vocabulary_path()
     names = ["row", "piece", "start", "length", "ids_crc32"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = _words(path), END_ID.to_bytes(4, "little")
+        words, end = _words(path, remembered), END_ID.to_bytes(4, "little")
         for b in batches:
             at, size = 0, max(1, min(128, b.num_rows))
             while at < b.num_rows:
@@ -398,4 +400,4 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: what is left, packed."""
-    return packed(docs)
+    return pack(pieces(docs, remembered=REMEMBERED_IN_STAGE))

@@ -367,7 +367,7 @@ def similar_links(rows: DataFrame, looked: DataFrame, similarity: float = SIMILA
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     n, i = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     shared = cut(keyed.join(sizes, "key").select("key", "id", n.alias("n"), i.alias("i"), "m"))
-    sets = cut(looked.drop("keys"))
+    sets = cut(looked.drop("keys"), few=True)
     drop(looked)
 
     def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,11 +400,11 @@ def similar_links(rows: DataFrame, looked: DataFrame, similarity: float = SIMILA
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
-        pairs = cut(both(pairs, sets, "sketch", "n").mapInArrow(rough, "a long, b long"))
+        pairs = cut(both(pairs, sets, "sketch", "n").mapInArrow(rough, "a long, b long"), few=True)
         needed = sets.join(ends(pairs), "id", "left_semi").select("id", F.col("at.doc_id").alias("__id"), F.col("at.row").alias("__row"))
-        texts = rows.join(few_sent(cut(needed)), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row")))
-        made = cut(texts.select("id", separated("text")).mapInArrow(whole, "id long, hashes binary").dropDuplicates(["id"]))
-        return cut(both(pairs, made, "hashes").mapInArrow(exact, "a long, b long"))
+        texts = rows.join(few_sent(cut(needed, few=True)), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row")))
+        made = cut(texts.select("id", separated("text")).mapInArrow(whole, "id long, hashes binary").dropDuplicates(["id"]), few=True)
+        return cut(both(pairs, made, "hashes").mapInArrow(exact, "a long, b long"), few=True)
 
     # each set with the middle of its key: the one that shares most, as an original among its edited copies does
     score = shared.groupBy("id").agg(F.sum("m").alias("score"))
@@ -412,7 +412,7 @@ def similar_links(rows: DataFrame, looked: DataFrame, similarity: float = SIMILA
     near = verified(shared.join(middle, "key").filter(_could(similarity, ("n", "i"), ("cn", "ci"))).select(F.col("id").alias("a"), F.col("c").alias("b")))
 
     # what a key still holds outside its largest component, with all of the key that is not connected to it
-    placed = cut(shared.join(components(near).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    placed = cut(shared.join(components(near).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), few=True)
     top = F.max(F.struct("k", "root"))
     open_ = (
         placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(top["root"].alias("most"), F.sum("k").alias("all"), (F.sum("k") - top["k"]).alias("out")).filter("out > 0")
@@ -447,14 +447,14 @@ def similar_links(rows: DataFrame, looked: DataFrame, similarity: float = SIMILA
 def sets_of(looked: DataFrame) -> DataFrame:
     """Of what looked_at() made: a row for each set of shingles."""
     first = lambda c: F.first(c).alias(c)
-    return cut(looked.filter("n > 0").groupBy("id").agg(F.min(F.struct("doc_id", "row")).alias("at"), *map(first, ("n", "sketch", "fold", "keys"))))
+    return cut(looked.filter("n > 0").groupBy("id").agg(F.min(F.struct("doc_id", "row")).alias("at"), *map(first, ("n", "sketch", "fold", "keys"))), few=True)
 
 
 def grouped(rows: DataFrame) -> DataFrame:
     """rows: doc_id, row, text. doc_id, row and root (a fingerprint) of what fingerprints or similar texts connect."""
     looked = looked_at(rows)
     near = components(near_links(looked.select("fp").distinct())).withColumnRenamed("node", "fp")
-    of = cut(looked.join(near, "fp", "left").select("doc_id", "row", F.when(F.col("n") > 0, F.col("id")).alias("id"), F.coalesce("root", "fp").alias("root")))
+    of = cut(looked.join(near, "fp", "left").select("doc_id", "row", F.when(F.col("n") > 0, F.col("id")).alias("id"), F.coalesce("root", "fp").alias("root")), few=True)
     sets = sets_of(looked)
     drop(looked)
     # a set's components are one, and so are those of similar sets: links between components
@@ -485,7 +485,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group, of fingerprints and similar texts, one document stays: that of the smallest doc_id."""
-    found = cut(grouped(_rows(docs)))
+    found = cut(grouped(_rows(docs)), few=True)
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     kept = found.groupBy("root").agg(F.min(place).alias("best"), F.min_by(F.struct("doc_id", "row"), place).alias("r")).select("root", F.col("r.doc_id").alias("k_id"), F.col("r.row").alias("k_row"))
     judged = found.join(kept, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("row") == F.col("k_row")))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's own setting by which the shuffle files behind a finished query go at once.
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Whether partitions after a shuffle are kept as many as cores, or merged up to the advisory size.
+SPREAD = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,25 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _tidied(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(TIDY, None)
-    spark.conf.set(TIDY, "true")
+def _set(spark: SparkSession, **settings: str) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(TIDY)
-        else:
-            spark.conf.set(TIDY, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, few: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs
     only the tasks it held. The shuffle files behind df go with the write; the table goes when the application ends, or
-    earlier by drop()."""
+    earlier by drop(). few: for small tables of little work; what a shuffle made is written to as few files as the
+    advisory size allows, since on a local file system without Hadoop's native library each file costs several processes."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    with _tidied(spark):
+    with _set(spark, **{TIDY: "true"}, **({SPREAD: "false"} if few else {})):
         df.write.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)

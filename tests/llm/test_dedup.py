@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm import chunk_dedup, exact_dedup, simhash, suffix_dedup
 from loomline.llm.blocks import Block
+from loomline.sources import tables
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 EDGES = [(1, None), (2, ""), (3, "É a"), (4, "é a"), (5, "É A"), (6, "x" * 300_000), (7, "X" * 300_000), (7, "X" * 300_000), (None, "same"), (8, "Same"), (9, "a\x00b"), (10, "   ")]
@@ -330,3 +331,13 @@ def test_passage_of_fifty_words_is_found(docs_of):
     rows = [(i, " ".join(word() for _ in range(80)) + " " + (shared if i % 2 else "") + " " + " ".join(word() for _ in range(80))) for i in range(40)]
     got = {r.doc_id: r for r in chunk_dedup.chunk_dedup(docs_of(rows)).collect()}
     assert all((got[i].n_removed > 0) == (i % 2 == 1 and i > 1) for i in range(40))
+
+
+def test_small_cuts_write_few_files(spark):
+    """Each file written costs processes on a local file system; a small table needs one, however many cores there are."""
+    rows = spark.range(1_200_000).groupBy((F.col("id") * 7919 % 1_000_003).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    before = spark.conf.get(tables.SPREAD, None)
+    few, spread = tables.cut(rows, few=True), tables.cut(rows)
+    assert len(few.inputFiles()) == 1 < len(spread.inputFiles())
+    assert few.exceptAll(spread).isEmpty() and few.count() == spread.count()
+    assert spark.conf.get(tables.SPREAD, None) == before

@@ -468,6 +468,15 @@ def test_plain_words_go_to_the_merges_alone(tokenizer):
     assert words.encode([t.encode() for t in texts]) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_words_beyond_those_remembered_are_encoded_each_time(tokenizer):
+    words = packing.Words(packing.vocabulary_path(), remembered=20)
+    texts = [" ".join(f"{a}{b}ing, don't" for b in ("load", "fold", "weav")) for a in ("un", "re", "over", "out", "mis")]
+    for _ in range(2):
+        got = [x for t in texts for x in words.encode([t.encode()])]
+        assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert 20 <= len(words.known) < 40
+
+
 def test_packing_is_whole_and_gapless(docs_of, tokenizer):
     rng = random.Random(11)
     rows = [(i, t) for i, t in enumerate(ODD)] + [(50, None), (51, "dup"), (51, "dup"), (None, "n")] + [(100 + i, "word " * rng.randint(1, 3000)) for i in range(60)]
