@@ -1,14 +1,18 @@
 """The ordered fold of extraction records into character states, current or as of any chapter.
 
-Each field of a state is its own aggregate over one table of events ordered by ord = (seq, section, place): a chapter's
-new characters come before its changes. For states as of several chapters each field is first folded within a chapter, then
-over the chapters (running minima and maxima), and every value is taken to just the checkpoints for which it holds: the
-work is that of reading the events once and writing the states. Deltas are never altered, so a state as of a chapter
-depends on nothing later; deltas that arrive out of order are sorted.
+Events are ordered by ord = (seq, section, place): a chapter's new characters come before its changes. Each event is read
+once, into a row for each thing that it says of a character (a fact, a relation, a memory, a development, and what it does
+to the single-valued fields); these rows are folded by character, kind and item, and what is left of them is gathered by
+character. For states as of several chapters the rows are first folded within a chapter, then over the chapters (running
+minima and maxima), and each is kept with the span of chapters for which it holds; a state picks those that hold at its
+checkpoint, after the last shuffle, so that only writing the states grows with the number of checkpoints. Deltas are never
+altered, so a state as of a chapter depends on nothing later; deltas that arrive out of order are sorted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,20 +21,27 @@ from loomline.functions.text import or_empty, strip, truthy
 
 RELATIONS = "array<struct<target:string,relation_type:string,description:string,trust_level:string>>"
 
+#: What a row of _items() is about.
+FIELDS, KNOWN, UNKNOWN, RELATION, MEMORY, TRAIT = range(6)
+_ITEMS = "array<struct<kind:int,i:int,item:string>>"
+
 
 def character_events(deltas: DataFrame) -> DataFrame:
     """deltas: doc_id, seq, chapter, extraction. One row per introduction or change of a character."""
-    e = F.col("extraction")
-    new = deltas.select("doc_id", "seq", "chapter", F.posexplode(e["new_characters"]).alias("place", "new"))
-    new = new.filter(truthy(F.col("new.name"))).select(
-        "doc_id", "chapter", F.struct("seq", F.lit(0).alias("section"), "place").alias("ord"), F.col("new.name").alias("name"), "new", F.lit(None).cast(deltas.schema["extraction"].dataType["character_changes"].dataType.elementType).alias("change")
-    )
-    name = F.coalesce("change.character_name", "change.name")
-    change = deltas.select("doc_id", "seq", "chapter", F.posexplode(e["character_changes"]).alias("place", "change"))
-    change = change.filter(truthy(name)).select(
-        "doc_id", "chapter", F.struct("seq", F.lit(1).alias("section"), "place").alias("ord"), name.alias("name"), F.lit(None).cast(deltas.schema["extraction"].dataType["new_characters"].dataType.elementType).alias("new"), "change"
-    )
-    return new.unionByName(change)
+    kinds = deltas.schema["extraction"].dataType
+    new, change = (kinds[f].dataType.elementType for f in ("new_characters", "character_changes"))
+
+    def told(field: str, section: int, row: Callable[[Column, Column], Column]) -> Column:
+        return F.coalesce(F.transform(F.col(f"extraction.{field}"), row), F.array().cast(f"array<struct<section:int,place:int,name:string,new:{new.simpleString()},change:{change.simpleString()}>>"))
+
+    def introduced(x: Column, i: Column) -> Column:
+        return F.struct(F.lit(0).alias("section"), i.alias("place"), x["name"].alias("name"), x.alias("new"), F.lit(None).cast(change).alias("change"))
+
+    def changed(x: Column, i: Column) -> Column:
+        return F.struct(F.lit(1).alias("section"), i.alias("place"), F.coalesce(x["character_name"], x["name"]).alias("name"), F.lit(None).cast(new).alias("new"), x.alias("change"))
+
+    each = deltas.select("doc_id", "seq", "chapter", F.inline(F.concat(told("new_characters", 0, introduced), told("character_changes", 1, changed))))
+    return each.filter(truthy(F.col("name"))).select("doc_id", "chapter", F.struct("seq", "section", "place").alias("ord"), "name", "new", "change")
 
 
 def as_of(events: DataFrame, checkpoints: DataFrame) -> DataFrame:
@@ -45,158 +56,128 @@ def _first_seen(rows: DataFrame, keys: list[str], item: str, into: str) -> DataF
     return first.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", item))), lambda x: x[item]).alias(into))
 
 
-def _facts(events: DataFrame, keys: list[str], field: str) -> DataFrame:
-    """keys, at, item of every fact in a field."""
-    each = events.select(*keys, "ord", F.posexplode(or_empty(F.col(f"change.{field}"))).alias("i", "item")).filter(truthy(F.col("item")))
-    return each.select(*keys, F.struct("ord", "i").alias("at"), "item")
-
-
-def _related(events: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, target, at, r of every change of a relation."""
-    each = events.select(*keys, "ord", F.posexplode("change.relationship_changes").alias("i", "r")).filter(truthy(F.col("r.target")))
-    return each.select(*keys, F.col("r.target").alias("target"), F.struct("ord", "i").alias("at"), "r")
-
-
-def _relation() -> list[Column]:
-    """The first mention of a target fixes its place, kind and trust; the last that has a description gives that."""
-    kind, trust = F.coalesce("r.type", F.lit(DEFAULT_RELATION)), F.coalesce("r.trust_level", F.lit(DEFAULT_TRUST))
-    return [
-        F.min(F.struct("at", kind.alias("relation_type"), trust.alias("trust_level"))).alias("first"),
-        F.max(F.when(F.col("r.change").isNotNull(), F.struct("at", F.col("r.change").alias("description")))).alias("last"),
-    ]
-
-
-def _relation_item() -> Column:
-    r = F.struct("target", "first.relation_type", F.coalesce("last.description", F.lit("")).alias("description"), "first.trust_level")
-    return F.struct(F.col("first.at").alias("at"), r.alias("r")).alias("item")
-
+def _items(events: DataFrame, keys: list[str], longest: int = 20) -> DataFrame:
+    """A row for each thing that an event says of a character: keys, kind, item, tie (a memory's own ord: memories are not
+    merged), and what a fold keeps of it: the least first, the greatest last and changed."""
+    change = F.col("change")
+    none = F.array().cast(_ITEMS)
 
-def _listed_relations(related: DataFrame, keys: list[str]) -> DataFrame:
-    """related: keys, item."""
-    return related.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list("item")), lambda x: x["r"]).alias("relationships"))
+    def thing(kind: int, i: Column, item: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), item.alias("item"))
 
+    def each(kind: int, array: Column, item: Callable[[Column], Column]) -> Column:
+        return F.coalesce(F.filter(F.transform(array, lambda x, i: thing(kind, i, item(x))), lambda x: truthy(x["item"])), none)
 
-def _trait_at(later: int, seq: Column, section: Column, place: Column, i: Column) -> Column:
-    ord_ = F.struct(seq.cast("bigint").alias("seq"), section.cast("int").alias("section"), place.cast("bigint").alias("place"))
-    return F.struct(F.lit(later).alias("later"), ord_.alias("ord"), i.cast("int").alias("i")).alias("at")
+    def alone(kind: int, said: Column, item: Column) -> Column:
+        return F.when(said, F.array(thing(kind, F.lit(0), item))).otherwise(none)
 
-
-def _base_traits(creation: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, at, item of the traits that a character was created with: they come first."""
-    base = creation.select(*keys, F.posexplode("base_traits").alias("i", "item"))
-    return base.select(*keys, _trait_at(0, F.lit(None), F.lit(0), F.lit(0), F.col("i")), "item")
+    memory = F.concat(F.lit("[第"), F.col("chapter").cast("string"), F.lit("章] "), change["key_event"])
+    d = change["personality_development"]
+    short = d.isNotNull() & ~F.lower(strip(d)).isin("null", "none", "") & (F.length(d) <= longest)
+    said = F.concat(
+        F.array(thing(FIELDS, F.lit(0), F.lit(""))),
+        each(KNOWN, change["new_facts_learned"], lambda x: x),
+        each(UNKNOWN, change["unknown_facts_updated"], lambda x: x),
+        each(RELATION, change["relationship_changes"], lambda r: r["target"]),
+        alone(MEMORY, truthy(change["key_event"]), memory),
+        alone(TRAIT, short, d),
+    )
+    emotion = change["emotional_shift"]
+    told = events.select(
+        *dict.fromkeys([*keys, "chapter"]),
+        "ord",
+        "new",
+        change.isNotNull().alias("changes"),
+        F.when(truthy(emotion), emotion).alias("emotion"),
+        change["relationship_changes"].alias("related"),
+        F.inline(said),
+    )
+    is_ = lambda kind, value: F.when(F.col("kind") == kind, value)
+    at, r = F.struct("ord", "i").alias("at"), F.get("related", F.col("i"))
+    text = F.when(F.col("kind") == FIELDS, F.col("emotion")).when(F.col("kind") == RELATION, r["change"])
+    return told.select(
+        *keys,
+        "kind",
+        "item",
+        is_(MEMORY, F.col("ord")).alias("tie"),
+        F.struct(
+            at,
+            is_(RELATION, F.coalesce(r["type"], F.lit(DEFAULT_RELATION))).alias("relation_type"),
+            is_(RELATION, F.coalesce(r["trust_level"], F.lit(DEFAULT_TRUST))).alias("trust_level"),
+            is_(FIELDS, F.col("chapter")).alias("chapter"),
+            is_(FIELDS, F.col("new")).alias("new"),
+        ).alias("first"),
+        F.when(text.isNotNull(), F.struct(at, text.alias("text"))).alias("last"),
+        F.when((F.col("kind") == FIELDS) & F.col("changes"), F.struct("ord", "chapter")).alias("changed"),
+    )
 
 
-def _developments(events: DataFrame, keys: list[str], longest: int = 20) -> DataFrame:
-    """keys, at, item of every short development."""
-    d = F.col("change.personality_development")
-    told = events.filter(d.isNotNull() & ~F.lower(strip(d)).isin("null", "none", "") & (F.length(d) <= longest))
-    return told.select(*keys, _trait_at(1, F.col("ord.seq"), F.col("ord.section"), F.col("ord.place"), F.lit(0)), d.alias("item"))
+def _gathered(folded: DataFrame, keys: list[str], *span: str) -> DataFrame:
+    """keys and a list for each kind, in order, of what was folded, with the columns of span."""
 
+    def listed(kind: int, *columns: Column) -> Column:
+        return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct(*columns, *span))))
 
-def _scalars(keys: list[str]) -> list[Column]:
-    """What an aggregate over events by keys keeps for the single-valued fields."""
-    emotion, changed = F.col("change.emotional_shift"), F.col("change").isNotNull()
-    return [
-        F.min(F.struct("ord", "chapter", "new")).alias("born"),
-        F.max(F.when(changed, F.struct("ord", "chapter"))).alias("changed"),
-        F.max(F.when(truthy(emotion), F.struct("ord", emotion.alias("emotion")))).alias("felt"),
-    ]
+    at, item = F.col("first.at").alias("at"), F.col("item").alias("x")
+    # the first mention of a target fixes its place, kind and trust; the last that has a description gives that
+    relation = F.struct(F.col("item").alias("target"), "first.relation_type", F.coalesce("last.text", F.lit("")).alias("description"), "first.trust_level").alias("x")
+    return folded.groupBy(*keys).agg(
+        F.collect_list(F.when(F.col("kind") == FIELDS, F.struct("first", "last", "changed", *span))).alias("fields"),
+        listed(KNOWN, at, item).alias("known"),
+        listed(UNKNOWN, at, item).alias("unknown"),
+        listed(RELATION, at, relation).alias("related"),
+        listed(MEMORY, F.col("tie"), item, F.col("n")).alias("remembered"),
+        listed(TRAIT, at, item).alias("grown"),
+    )
 
 
-def _creation(scalars: DataFrame, keys: list[str]) -> DataFrame:
-    new = F.col("born.new")
-    return scalars.select(
+def _states(gathered: DataFrame, keys: list[str], held: Callable[[Column], Column] = lambda listed: listed) -> DataFrame:
+    """A state for each row that has one, in the fields of a character state, of what is held of the row's lists."""
+    now = gathered.withColumn("f", F.get(held(F.col("fields")), F.lit(0))).filter("f is not null")
+    new, taken = F.col("f.first.new"), lambda c: F.transform(held(F.col(c)), lambda v: v["x"])
+    return now.select(
         *keys,
-        F.col("born.ord").alias("first_seen"),
-        F.coalesce("changed.chapter", "born.chapter").alias("chapter"),
+        F.col("f.first.at.ord").alias("first_seen"),
+        F.coalesce("f.changed.chapter", "f.first.chapter").alias("chapter"),
         F.coalesce(new["identity"], F.lit("")).alias("identity"),
-        or_empty(new["personality_traits"]).alias("base_traits"),
+        F.array_distinct(F.concat(or_empty(new["personality_traits"]), taken("grown"))).alias("personality_traits"),
         F.coalesce(new["speech_style"], F.lit("")).alias("speech_style"),
-        F.coalesce("felt.emotion", F.when(new.isNotNull(), F.lit(INITIAL_EMOTION)).otherwise(F.lit(""))).alias("emotional_state"),
+        taken("known").alias("known_facts"),
+        taken("unknown").alias("unknown_facts"),
+        F.coalesce("f.last.text", F.when(new.isNotNull(), F.lit(INITIAL_EMOTION)).otherwise(F.lit(""))).alias("emotional_state"),
+        F.array().cast("array<string>").alias("goals"),
+        taken("related").alias("relationships"),
+        F.flatten(F.transform(held(F.col("remembered")), lambda v: F.array_repeat(v["x"], v["n"].cast("int")))).alias("key_memories"),
     )
 
 
-def _memories(events: DataFrame) -> DataFrame:
-    event = F.col("change.key_event")
-    memory = F.concat(F.lit("[第"), F.col("chapter").cast("string"), F.lit("章] "), event)
-    return events.filter(truthy(event)).withColumn("item", F.struct("ord", memory.alias("m")))
-
-
-def _remembered(memories: DataFrame, keys: list[str]) -> DataFrame:
-    return memories.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list("item")), lambda x: x["m"]).alias("key_memories"))
-
-
-def _assembled(creation: DataFrame, parts: list[DataFrame], keys: list[str]) -> DataFrame:
-    out = creation
-    for part in parts:
-        out = out.join(part, keys, "left")
-    return out.select(
-        *keys,
-        "first_seen",
-        "chapter",
-        "identity",
-        or_empty(F.col("personality_traits")).alias("personality_traits"),
-        "speech_style",
-        or_empty(F.col("known_facts")).alias("known_facts"),
-        or_empty(F.col("unknown_facts")).alias("unknown_facts"),
-        "emotional_state",
-        F.array().cast("array<string>").alias("goals"),
-        F.coalesce("relationships", F.array().cast(RELATIONS)).alias("relationships"),
-        or_empty(F.col("key_memories")).alias("key_memories"),
-    )
+def _kept() -> list[Column]:
+    return [F.min("first").alias("first"), F.max("last").alias("last"), F.max("changed").alias("changed"), F.count(F.lit(1)).alias("n")]
 
 
 def fold(events: DataFrame, keys: list[str]) -> DataFrame:
     """A state for each value of keys (name among them), in the fields of a character state; first_seen orders names."""
-    creation = _creation(events.groupBy(*keys).agg(*_scalars(keys)), keys)
-    parts = [
-        _first_seen(_facts(events, keys, "new_facts_learned"), keys, "item", "known_facts"),
-        _first_seen(_facts(events, keys, "unknown_facts_updated"), keys, "item", "unknown_facts"),
-        _listed_relations(_related(events, keys).groupBy(*keys, "target").agg(*_relation()).select(*keys, _relation_item()), keys),
-        _remembered(_memories(events), keys),
-        _first_seen(_base_traits(creation, keys).unionByName(_developments(events, keys)), keys, "item", "personality_traits"),
-    ]
-    return _assembled(creation, parts, keys)
+    return _states(_gathered(_items(events, keys).groupBy(*keys, "kind", "item", "tie").agg(*_kept()), keys), keys)
 
 
 def fold_as_of(events: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """States by doc_id, cp and name at each checkpoint (column cp), as fold(as_of(events, checkpoints)) has them."""
-    keys, own = ["doc_id", "cp", "name"], ["doc_id", "name"]
+    own = ["doc_id", "name"]
     cps = F.broadcast(checkpoints.agg(F.array_sort(F.collect_set("cp")).alias("__cps")))  # one row
-
-    def held(rows: DataFrame) -> DataFrame:
-        """rows at every checkpoint from the chapter __from on, before the chapter __until at which another follows."""
-        holds = lambda c: (c >= F.col("__from")) & (F.col("__until").isNull() | (c < F.col("__until")))
-        return rows.crossJoin(cps).withColumn("cp", F.explode(F.filter("__cps", holds))).drop("__cps", "__from", "__until")
-
-    def running(rows: DataFrame, by: list[str], *parts: tuple[str, str]) -> DataFrame:
-        """Each column folded over the chapters up to its own, to be held until the next chapter that has a row."""
-        chapters = Window.partitionBy(*by).orderBy("chapter")
-        upto = chapters.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        folded = rows.withColumns({c: getattr(F, f)(c).over(upto) for c, f in parts} | {"__until": F.lead("chapter").over(chapters)})
-        return folded.withColumnRenamed("chapter", "__from")
-
-    def first_seen(rows: DataFrame, into: str) -> DataFrame:
-        items = held(running(rows.groupBy(*own, "item", "chapter").agg(F.min("at").alias("at")), [*own, "item"], ("at", "min")))
-        return items.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias(into))
-
-    wide, span = [*own, "chapter"], ["__from", "__until"]
-    # fields are taken out of what was folded before rows multiply
-    creation = held(_creation(running(events.groupBy(*wide).agg(*_scalars(wide)), own, ("born", "min"), ("changed", "max"), ("felt", "max")), [*own, *span]))
-    related = running(_related(events, wide).groupBy(*wide, "target").agg(*_relation()), [*own, "target"], ("first", "min"), ("last", "max"))
-    related = held(related.select(*own, *span, _relation_item()))
-    told = running(_developments(events, wide).groupBy(*wide, "item").agg(F.min("at").alias("at")), [*own, "item"], ("at", "min"))
-    traits = _base_traits(creation, keys).unionByName(held(told).select(*keys, "at", "item"))
-    remembered = _memories(events).select(*own, F.col("chapter").alias("__from"), F.lit(None).cast("int").alias("__until"), "item")
-    parts = [
-        first_seen(_facts(events, wide, "new_facts_learned"), "known_facts"),
-        first_seen(_facts(events, wide, "unknown_facts_updated"), "unknown_facts"),
-        _listed_relations(related, keys),
-        _remembered(held(remembered), keys),
-        _first_seen(traits, keys, "item", "personality_traits"),
-    ]
-    return _assembled(creation, parts, keys)
+    # dealt by item for both the fold within a chapter and the one over chapters
+    dealt = _items(events, [*own, "chapter"]).repartition(*own, "kind", "item")
+    within = dealt.groupBy(*own, "kind", "item", "chapter", "tie").agg(*_kept())
+    chapters = Window.partitionBy(*own, "kind", "item").orderBy("chapter")
+    upto = chapters.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a row holds until the next chapter that has one of its item; a memory stays
+    until = F.when(F.col("kind") != MEMORY, F.lead("chapter").over(chapters))
+    running = within.withColumns({c: f(c).over(upto) for c, f in (("first", F.min), ("last", F.max), ("changed", F.max))} | {"until": until})
+    told = _gathered(running.withColumnRenamed("chapter", "from"), own, "from", "until")
+
+    def held(listed: Column) -> Column:
+        return F.filter(listed, lambda v: (v["from"] <= F.col("cp")) & (v["until"].isNull() | (F.col("cp") < v["until"])))
+
+    return _states(told.crossJoin(cps).withColumn("cp", F.explode("__cps")).drop("__cps"), ["doc_id", "cp", "name"], held)
 
 
 def current_states(deltas: DataFrame) -> DataFrame:
