@@ -55,6 +55,7 @@ def extract_chapters(chapters: DataFrame, provider: Provider, names: DataFrame |
 def compress_states(states: DataFrame, provider: Provider, threshold: int = 20) -> DataFrame:
     """The states with those over the threshold replaced by the model's; a reply without JSON changes nothing."""
     kind = f"struct<identity:string,personality_traits:array<string>,speech_style:string,known_facts:array<string>,unknown_facts:array<string>,emotional_state:string,goals:array<string>,key_memories:array<string>,relationships:{fold.RELATIONS}>"
+    states = cut(states)  # read for the requests and for what stays
     over = fold.to_compress(states, threshold).select("doc_id", "name", compact_profile().alias("profile"))
     replies = _ask(over, provider, fill(COMPRESS, name=F.col("name"), profile=F.col("profile")))
     compact = replies.withColumn("json", recover_json(F.col("text"))).filter("json is not null").select("doc_id", "name", F.from_json("json", kind).alias("compact"))
@@ -66,13 +67,14 @@ def patch_facts(states: DataFrame, provider: Provider, chapter: int, least_facts
     fit = states.filter(fold.patch_eligible(least_facts, overwrite))
     asked = _ask(fit.select("doc_id", "name", compact_profile().alias("profile")), provider, fill(PATCH, profile=F.col("profile")))
     facts = F.coalesce(string_items(recover_json(F.col("text"))), F.array().cast("array<string>"))
-    return fold.patch_deltas(states, asked.select("doc_id", "name", facts.alias("facts")), chapter, least_facts, overwrite)
+    return fold.patches_of(asked.select("doc_id", "name", facts.alias("facts")), chapter)  # only who may be patched was asked
 
 
 def chat_turn(inputs: DataFrame, states: DataFrame, turns: DataFrame, provider: Provider, most_turns: int = 10, check: bool = True) -> DataFrame:
     """inputs: conv_id, name, input. states: name and a state's fields. turns: the conversations so far. Each input's
     response and reasoning, and whether the first reply leaked: then there is one more, which is not checked again."""
-    told = states.select("name", state_prompt().alias("state"), "unknown_facts")
+    asked = states.join(inputs.select("name").distinct(), "name", "left_semi")  # no state is written out for nothing
+    told = asked.select("name", state_prompt().alias("state"), "unknown_facts")
     history = session.history_text(session.compaction(turns.filter("role <> 'system'"), most_turns))
     base = inputs.join(told, "name").join(history, "conv_id", "left").withColumn("history", F.coalesce("history", F.lit("（对话刚开始）")))
     ask = fill(CHAT, name=F.col("name"), state=F.col("state"), history=F.col("history"), input=F.col("input"))

@@ -227,7 +227,12 @@ def patch_eligible(least_facts: int = 2, overwrite: bool = False) -> Column:
 
 def patch_deltas(states: DataFrame, patches: DataFrame, chapter: int, least_facts: int = 2, overwrite: bool = False) -> DataFrame:
     """Patched unknown facts as delta rows of their own chapter, so every view sees them. patches: doc_id, name, facts."""
-    return states.filter(patch_eligible(least_facts, overwrite)).join(patches, ["doc_id", "name"]).select("doc_id", F.lit(chapter).alias("chapter"), "name", F.slice("facts", 1, 8).alias("unknown_facts_updated"))
+    return patches_of(states.filter(patch_eligible(least_facts, overwrite)).join(patches, ["doc_id", "name"]), chapter)
+
+
+def patches_of(patches: DataFrame, chapter: int) -> DataFrame:
+    """Delta rows of patches (doc_id, name, facts), at most eight facts each."""
+    return patches.select("doc_id", F.lit(chapter).alias("chapter"), "name", F.slice("facts", 1, 8).alias("unknown_facts_updated"))
 
 
 def summary(states: DataFrame) -> DataFrame:
