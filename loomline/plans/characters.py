@@ -46,8 +46,8 @@ def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.current_states(deltas(spark, sf_dir))
 
 
-def at(spark: SparkSession, sf_dir: str, stride: int) -> DataFrame:
-    return synthesis.checkpoint_states(deltas(spark, sf_dir), stride)
+def at(spark: SparkSession, sf_dir: str, stride: int, wanted: DataFrame | None = None) -> DataFrame:
+    return synthesis.checkpoint_states(deltas(spark, sf_dir), stride, wanted=wanted)
 
 
 def states_sql(stride: int | None = None) -> str:
@@ -228,12 +228,19 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select(F.col("name").alias("character"), F.col("cp").alias("chapter"), F.concat(F.lit("q"), "name").alias("question"), F.lit("a").alias("answer"), F.lit("good").alias("chosen"), F.lit("bad").alias("rejected"), _few_shot().alias("few_shot"))
 
 
+def _states_of(items: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of all checkpoints that items have."""
+    return at(spark, sf_dir, 1, items.select(F.col("chapter").alias("cp")).distinct())
+
+
 def sft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.sft_rows(_items(spark, sf_dir), at(spark, sf_dir, 1)).select(F.md5("instruction").alias("instruction_md5"), "input", "output")
+    items = _items(spark, sf_dir)
+    return render.sft_rows(items, _states_of(items, spark, sf_dir)).select(F.md5("instruction").alias("instruction_md5"), "input", "output")
 
 
 def preference_items_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.preference_rows(_items(spark, sf_dir), at(spark, sf_dir, 1)).select(F.md5("instruction").alias("instruction_md5"), "input", "chosen", "rejected")
+    items = _items(spark, sf_dir)
+    return render.preference_rows(items, _states_of(items, spark, sf_dir)).select(F.md5("instruction").alias("instruction_md5"), "input", "chosen", "rejected")
 
 
 SFT_ROWS = states_sql(1) + f"SELECT md5({_INSTRUCTION}) AS instruction_md5, 'q' || name AS input, 'a' AS output FROM lists WHERE cp IN (1, 2, 7, 30)"

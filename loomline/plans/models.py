@@ -13,6 +13,7 @@ from loomline.plans import characters, speech
 from loomline.plans.narrative import STRIP
 from loomline.plans.relational import RULES, labelled, table
 from loomline.sources.providers import LocalProvider, Provider, RuleProvider, score_pairs
+from loomline.sources.tables import cut
 
 _OUT_OF_FORM = """contains(text, 'License') OR (length({0}) > 3000 AND NOT contains(text, '|') AND regexp_matches(text, 'the (of|and)')) OR regexp_matches(chr(10) || {0}, '\\n[A-Z][a-z]{{14,}}')""".format(STRIP % "text")
 
@@ -161,7 +162,7 @@ def _even():
 def sft_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of every checkpoint: characters of even number get their questions by intent, the others only when asked
     again; a first answer is always too short."""
-    states = characters.at(spark, sf_dir, 15)
+    states = cut(characters.at(spark, sf_dir, 15))  # the items and the examples read them
     examples = states.select("doc_id", "name", "cp", F.concat(F.lit("ex "), "name").alias("few_shot"))
     intent = F.regexp_extract("prompt", "请以「([^」]+)」", 1)
     asked = F.when(intent == "", '["补问第一个问题吗？", "补问第二个问题吗？", "补", "补问第一个问题吗？", "补问第三个问题吗？", "补问第四个问题吗？", "补问第五个问题吗？"]')
@@ -179,7 +180,7 @@ UNION ALL SELECT name, cp, '补问第' || k || '个问题吗？', '我在河边
 def preference_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items for every unknown fact of every checkpoint. First answers to first questions leak; every fifth character leaks
     whenever the second question comes, and has no item then."""
-    states = characters.at(spark, sf_dir, 15)
+    states = cut(characters.at(spark, sf_dir, 15))  # the items and the examples read them
     examples = states.select("doc_id", "name", "cp", F.lit("ex").alias("few_shot"))
     leaks = ((F.col("pos") == 0) & (F.col("attempt") == 0)) | ((F.col("pos") == 1) & (F.col("name").cast("int") % 5 == 0))
     verdict = F.when(leaks, '{"leaked": true}').when(F.col("pos") == 1, "broken").otherwise('{"leaked": false}')
