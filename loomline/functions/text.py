@@ -17,9 +17,13 @@ def any_of(*conditions: Column) -> Column:
     return out
 
 
+#: Unicode's white space, what (?U)\\s stands for.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    """Without white space at both ends, Unicode's included."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends, Unicode's included. Only the ends are looked at; a pattern tries every place."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def squeeze(text: Column) -> Column:
@@ -71,7 +75,7 @@ def clean_line(line: Column) -> Column:
 
 
 def lines_of(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, r"\r\n|[\r\x0b\f\x1c-\x1e\x85  ]", "\n"), "\n", -1)
+    return F.split(text, r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]", -1)
 
 
 def distinct_kept(lines: Column) -> Column:
@@ -173,8 +177,11 @@ def bad_answer(text: Column, facts: Column | None = None, memories: Column | Non
 def section(text: Column, title: str, min_one: bool = False) -> Column:
     """The text under the first ### heading that contains title. min_one: at least one character, so that an empty
     section runs on into the next, and any deeper or equal heading ends it."""
-    body, end = (r"([\s\S]+?)", r"(?=\n###?|\z)") if min_one else (r"(.*?)", r"(?=\n###|\z)")
-    return strip(F.regexp_extract(text, rf"(?sU)###?\s*[^\n]*\Q{title}\E[^\n]*\n{body}{end}", 1))
+    head = rf"###?\s*[^\n]*\Q{title}\E[^\n]*\n"
+    if min_one:
+        return strip(F.regexp_extract(text, rf"(?sU){head}([\s\S]+?)(?=\n###?|\z)", 1))
+    # where the body ends is found as plain text: a pattern would look ahead at every character of it
+    return strip(F.substring_index(F.regexp_extract(text, rf"(?sU){head}(.*)", 1), "\n###", 1))
 
 
 def labelled_field(text: Column, label: str, default: str = "") -> Column:

@@ -26,24 +26,35 @@ def marker_of(patterns: Sequence[str] = CHAPTER_MARKERS) -> Marker:
     return lambda line: is_marker(line, patterns)
 
 
-def split_by_markers(docs: DataFrame, marker: Marker | None = None) -> DataFrame:
-    """Chapters of docs (doc_id, text) between marker lines. Of markers with one title (but for white space) the last
-    counts, so that a table of contents gives way to the body; sections without content go before chapters are numbered.
-    All of it is within the row: no text is shuffled."""
-    hit, size = marker or marker_of(), F.size("lines")
+def _marked(docs: DataFrame, hit: Marker) -> DataFrame:
+    """docs with their lines and marks: marker lines with their place, title and key."""
     placed = F.filter(F.transform("lines", lambda line, i: F.struct(i.alias("at"), line.alias("line"))), lambda m: hit(m["line"]))
-    titled = F.transform(placed, lambda m: F.struct(m["at"].alias("at"), strip(m["line"]).alias("title"), squeeze(m["line"]).alias("key")))
-    marks = docs.select("doc_id", F.split("text", "\n", -1).alias("lines")).withColumn("marks", titled)
-    # the last of a key: its place among the marks from behind is the first
-    keys = F.transform("marks", lambda m: m["key"])
-    last = F.transform_values(F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("k"), k.alias("v")))), lambda k, _: F.size("marks") - F.array_position(F.reverse(keys), k))
-    kept = marks.withColumn("last", last).withColumn("starts", F.filter("marks", lambda m, i: F.element_at("last", m["key"]) == i))
+    return docs.withColumn("lines", F.split("text", "\n", -1)).withColumn("marks", F.transform(placed, lambda m: F.struct(squeeze(m["line"]).alias("key"), m["at"].alias("at"), strip(m["line"]).alias("title"))))
+
+
+def _between_marks(marked: DataFrame) -> DataFrame:
+    """marked with starts: of marks with one key the last, in the text's order."""
+    keyed = marked.withColumn("keyed", F.sort_array("marks"))
+    last = F.filter("keyed", lambda m, i: F.coalesce(F.get("keyed", i + 1)["key"] != m["key"], F.lit(True)))
+    return keyed.withColumn("starts", F.sort_array(F.transform(last, lambda m: F.struct(m["at"].alias("at"), m["title"].alias("title"))))).drop("keyed")
+
+
+def _chapters() -> Column:
+    """The chapters (title, content, size) between starts that have content."""
 
     def chapter(m: Column, i: Column) -> Column:
-        end = F.coalesce(F.get("starts", i + 1)["at"], size)
-        return F.struct(m["title"].alias("title"), strip(F.array_join(F.slice("lines", m["at"] + 2, end - m["at"] - 1), "\n")).alias("content"))
+        end = F.coalesce(F.get("starts", i + 1)["at"], F.size("lines"))
+        content = strip(F.array_join(F.slice("lines", m["at"] + 2, end - m["at"] - 1), "\n"))
+        return F.struct(m["title"].alias("title"), content.alias("content"))
+
+    return F.filter(F.transform("starts", chapter), lambda c: c["content"] != "")
 
-    found = kept.select("doc_id", F.posexplode(F.filter(F.transform("starts", chapter), lambda c: c["content"] != "")).alias("i", "c"))
+
+def split_by_markers(docs: DataFrame, marker: Marker | None = None) -> DataFrame:
+    """Chapters of docs (doc_id, text) between marker lines. Of markers with one title (but for white space) the last
+    counts, so that a table of contents gives way to the body; sections without content go before chapters are numbered.
+    All of it is within the row: no text is shuffled."""
+    found = _between_marks(_marked(docs.select("doc_id", "text"), marker or marker_of())).select("doc_id", F.posexplode(_chapters()).alias("i", "c"))
     return found.select("doc_id", (F.col("i") + 1).alias("index"), F.col("c.title").alias("title"), F.col("c.content").alias("content"), F.length("c.content").alias("char_count"))
 
 
@@ -88,10 +99,16 @@ def split_by_length(docs: DataFrame, limit: int = 6000, separator: str = r"(?U)\
 
 
 def split_chapters(docs: DataFrame, limit: int = 6000, marker: Marker | None = None, least: int = 3) -> DataFrame:
-    """Chapters of docs (doc_id, text): by markers where a text has `least` of them, else by length."""
-    markers = F.size(F.filter(F.split("text", "\n", -1), marker or marker_of()))
-    by_marker = split_by_markers(docs.filter(markers >= least), marker)
-    return by_marker.unionByName(split_by_length(docs.filter(F.coalesce(markers, F.lit(0)) < least), limit))
+    """Chapters of docs (doc_id, text): by markers where a text has `least` of them, else by length. Texts are read and
+    their lines judged once for both ways."""
+    marked = _marked(docs.select("doc_id", "text"), marker or marker_of())
+    routed = _between_marks(marked.withColumn("marks", F.when(F.size("marks") >= least, F.col("marks"))))
+    kind = "array<struct<title:string,content:string,char_count:int>>"
+    by_marker = F.transform(_chapters(), lambda c: F.struct(c["title"].alias("title"), c["content"].alias("content"), F.length(c["content"]).alias("char_count")))
+    chunks = greedy_chunks(paragraphs(F.col("text")), limit)
+    by_length = F.transform(chunks, lambda c, i: F.struct(F.format_string("段落 %d", i + 1).alias("title"), F.array_join(c["parts"], "\n\n").alias("content"), c["size"].alias("char_count")))
+    found = routed.select("doc_id", F.posexplode(F.when(F.col("marks").isNotNull(), by_marker.cast(kind)).otherwise(by_length.cast(kind))).alias("i", "c"))
+    return found.select("doc_id", (F.col("i") + 1).alias("index"), "c.title", "c.content", "c.char_count")
 
 
 def first_chapters(chapters: DataFrame, n: int | None) -> DataFrame:
